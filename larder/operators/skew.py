@@ -13,16 +13,18 @@ HOT_SHARE = 0.001
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
-                share: float = HOT_SHARE) -> DataFrame:
+                share: float = HOT_SHARE, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined to ``right``, whose ``key`` is unique.
 
     Rows of the hot keys stay where they are and meet a broadcast of at most
-    ``1 / share`` right rows; only the other rows are shuffled.
+    ``1 / share`` right rows; only the other rows are shuffled.  ``counts``
+    gives the rows ``n`` per key of ``left`` where they are known already.
     """
-    counted = materialise(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
-    total = counted.agg(F.sum("_n")).first()[0] or 0
-    hot = counted.where((F.col("_n") > share * total) & F.col(key).isNotNull()).select(key)
-    hot = F.broadcast(hot)
+    if counts is None:
+        counts = materialise(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(
+        counts.where((F.col("n") > share * total) & F.col(key).isNotNull()).select(key))
     common = left.join(hot, key, "left_semi").join(
         F.broadcast(right.join(hot, key, "left_semi")), key, how)
     rest = left.join(hot, key, "left_anti").join(right, key, how)
