@@ -121,4 +121,4 @@ def detail_text(detail: Column, ingredients: Column, instructions: Column) -> Co
 
 
 def two_decimals(value: Column) -> Column:
-    return F.format_number(value, "0.00")
+    return F.call_function("format_number", value, F.lit("0.00"))
