@@ -88,8 +88,8 @@ def fts_turns_top10(spark, sf) -> DataFrame:
 
 
 def fts_pruned_top10(spark, sf) -> DataFrame:
-    """The pruned plan, which large batches take."""
-    return search(src.passages(spark, sf), src.document_index(spark, sf), 10, direct_pairs=0)
+    """The plan that large batches take."""
+    return search(src.passages(spark, sf), src.document_index(spark, sf), 10, simple_pairs=0)
 
 
 def retrieve_recipes(spark, sf) -> DataFrame:

@@ -23,14 +23,18 @@ B = 0.75
 # Query terms up to this many rows are sent to every executor (about 100 bytes
 # a row); beyond it Catalyst joins by shuffle and AQE splits the hot terms.
 BROADCAST_ROWS = 500_000
-# Up to this many (query, document, term) rows, all are scored; beyond it the
-# bounds of the frequent terms prune first.
-DIRECT_PAIRS = 5_000_000_000
+# (query, document, term) rows of a batch of queries, known exactly from the
+# document counts of its terms.  Beyond this many, scores are compared to a
+# lower bound of their query's k-th score before they are sorted.
+SIMPLE_PAIRS = 20_000_000
+# One in this many documents is kept apart to take that lower bound from.
+SAMPLE_ONE_IN = 16
 
 
 @dataclass(frozen=True)
 class TextIndex:
     docs: DataFrame      # index, doc_len, terms: array<struct<term, tf>>
+    sample: DataFrame    # a part of ``docs``
     term_df: DataFrame   # term, df
     n_docs: int
     avg_len: float
@@ -56,15 +60,21 @@ def term_counts(docs: DataFrame, key: str = "index", text: str = "text") -> Data
 
 def build_index(docs: DataFrame, key: str = "index", text: str = "text",
                 buckets: int | None = None) -> TextIndex:
-    """Index one text column.  ``buckets`` defaults to the shuffle partitions."""
+    """Index one text column.
+
+    ``buckets`` defaults to the shuffle partitions or four per core.
+    """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                             4 * spark.sparkContext.defaultParallelism)
     counted = term_counts(spread(docs.select(key, text), key), key, text)
     stored = materialise_bucketed(counted, "docs", "index", buckets)
+    part = F.pmod(F.xxhash64("index"), F.lit(SAMPLE_ONE_IN)) == 0
+    sample = materialise_bucketed(stored.where(part), "sample", "index", buckets)
     term_df = materialise(
         postings(stored).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-df")
     totals = stored.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("len")).first()
-    return TextIndex(stored, term_df, totals["n"], totals["len"] or 0.0)
+    return TextIndex(stored, sample, term_df, totals["n"], totals["len"] or 0.0)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -94,9 +104,9 @@ def query_terms(queries: DataFrame, index: TextIndex, query: str = "query") -> D
     return materialise(weighted, "query-terms")
 
 
-def _scores(index: TextIndex, weights: DataFrame) -> DataFrame:
+def _scores(index: TextIndex, docs: DataFrame, weights: DataFrame) -> DataFrame:
     """``query_id, index, part, matched`` over the documents sharing a term."""
-    return (postings(index.docs).join(weights, "term")
+    return (postings(docs).join(weights, "term")
             .withColumn("gain", _gain(index))
             .groupBy("query_id", "index")
             .agg(F.sum("gain").alias("part"),
@@ -121,69 +131,38 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id",
 
 
 def search(queries: DataFrame, index: TextIndex, k: int = 10, query: str = "query",
-           direct_pairs: int = DIRECT_PAIRS, hot_share: float = 0.05) -> DataFrame:
+           simple_pairs: int = SIMPLE_PAIRS) -> DataFrame:
     """BM25 top ``k`` per query: ``query_id, rank, index, score, matched``.
 
     Documents sharing any term are candidates; ties go to the lower key.
     """
     weights = query_terms(queries, index, query)
     size = weights.agg(F.count(F.lit(1)).alias("rows"), F.sum("df").alias("pairs")).first()
-    small = size["rows"] <= BROADCAST_ROWS
-    if (size["pairs"] or 0) <= direct_pairs:
-        scored = _scores(index, F.broadcast(weights) if small else weights)
-    else:
-        scored = _pruned_scores(index, weights, k, hot_share * index.n_docs, small)
+    hint = F.broadcast if size["rows"] <= BROADCAST_ROWS else (lambda df: df)
+    scored = _scores(index, index.docs, hint(weights))
+    if (size["pairs"] or 0) > simple_pairs:
+        floors = _floors(index, weights, k, hint)
+        scored = scored.join(hint(floors), "query_id").where(F.col("part") >= F.col("floor"))
     scored = scored.select(
         "query_id", "index", F.round("part", 6).alias("score"), "matched")
     best = top_k(scored, k, F.desc("score"), F.asc("index"))
     return best.select("query_id", "rank", "index", "score", "matched")
 
 
-def _pruned_scores(index: TextIndex, weights: DataFrame, k: int, hot_df: float,
-                   small: bool) -> DataFrame:
-    """Scores of every document that can still be in a query's top k.
+def _floors(index: TextIndex, weights: DataFrame, k: int, hint) -> DataFrame:
+    """``query_id, floor``: no document scored below it is in the query's top k.
 
-    A term adds at most ``idf * (k1 + 1)``.  Once the k-th best score from the
-    rare terms alone is above what the frequent terms could add together, a
-    document without a rare term cannot be in the top k, nor can one whose rare
-    score stays further below.  Queries without such a k-th score are scored in
-    full, so the result is the same as without pruning.
+    The k-th best score among some of the documents is never above the k-th
+    best among all; it is 0 where fewer than k of them share a term.
     """
-    hint = F.broadcast if small else (lambda df: df)
-    hot = weights.where(F.col("df") > hot_df)
-    rare = weights.where(F.col("df") <= hot_df)
-    ceiling = hot.groupBy("query_id").agg((F.sum("idf") * (K1 + 1.0)).alias("ceiling"))
-    partial = materialise(_scores(index, hint(rare)), "rare-scores")
-    kth = (top_k(partial, k, F.desc("part"), F.asc("index")).where(F.col("rank") == k)
+    some = _scores(index, index.sample, hint(weights))
+    kth = (top_k(some, k, F.desc("part"), F.asc("index")).where(F.col("rank") == k)
            .select("query_id", F.col("part").alias("kth")))
-    limits = materialise(
-        weights.select("query_id").distinct()
-        .join(ceiling, "query_id", "left").join(kth, "query_id", "left")
-        .withColumn("ceiling", F.coalesce("ceiling", F.lit(0.0)))
-        .withColumn("closed", (F.col("ceiling") == 0.0)
-                    | (F.coalesce("kth", F.lit(0.0)) > F.col("ceiling") + 1e-5)),
-        "limits")
-
-    open_queries = limits.where(~F.col("closed")).select("query_id")
-    in_full = _scores(index, hint(weights.join(open_queries, "query_id", "left_semi")))
-
-    # ``ceiling`` rounds up by the half unit the final score is rounded to.
-    closed = limits.where("closed").select("query_id", "ceiling", "kth")
-    kept = partial.join(closed, "query_id").where(
-        F.col("part") + F.col("ceiling") + 1e-5 >= F.coalesce("kth", F.lit(0.0)))
-    kept = materialise(kept.select("query_id", "index", "part", "matched"), "kept")
-    added = (
-        kept.select("query_id", "index").join(index.docs, "index")
-        .select("query_id", "index", "doc_len", F.explode("terms").alias("entry"))
-        .select("query_id", "index", "doc_len", "entry.term", "entry.tf")
-        .join(hint(hot.select("query_id", "term", "idf")), ["query_id", "term"])
-        .groupBy("query_id", "index")
-        .agg(F.sum(_gain(index)).alias("more"), F.count(F.lit(1)).cast("int").alias("hits")))
-    completed = kept.join(added, ["query_id", "index"], "left").select(
-        "query_id", "index",
-        (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("part"),
-        (F.col("matched") + F.coalesce("hits", F.lit(0))).alias("matched"))
-    return in_full.unionByName(completed)
+    # a little lower, for sums in another order and the rounding of the score
+    return materialise(
+        weights.select("query_id").distinct().join(kth, "query_id", "left")
+        .select("query_id", F.greatest(F.coalesce("kth", F.lit(0.0)) - 1e-5, F.lit(0.0))
+                .alias("floor")), "floors")
 
 
 def with_recipe(results: DataFrame, corpus: DataFrame, *columns: str) -> DataFrame:
