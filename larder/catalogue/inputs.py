@@ -17,7 +17,7 @@ from larder.plans.compare import Comparison, compare
 from larder.plans.feedback import fan_out
 from larder.plans.ingest import prepare
 from larder.plans.recommend import answer
-from larder.session import materialise
+from larder.session import materialise, materialise_bucketed
 from larder.sources.recipes import number_rows
 
 _kept: dict[tuple, Any] = {}
@@ -91,9 +91,15 @@ def recipes(spark, sf) -> DataFrame:
         "text", F.col("text_for_search"))
 
 
+def stored_recipes(spark, sf) -> DataFrame:
+    return keep(spark, sf, "recipes", lambda: materialise_bucketed(
+        recipes(spark, sf), "recipes", "index",
+        int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def recipe_index(spark, sf) -> TextIndex:
     return keep(spark, sf, "recipe-index",
-                lambda: build_index(recipes(spark, sf), text="text_for_search"))
+                lambda: build_index(stored_recipes(spark, sf)))
 
 
 def requests(spark, sf) -> DataFrame:
@@ -112,7 +118,7 @@ def answers(spark, sf):
     """Rewritten requests, their status and the recommendations."""
     return keep(spark, sf, "answers", lambda: answer(
         materialise(requests(spark, sf), "requests"), recipe_index(spark, sf),
-        recipes(spark, sf)))
+        stored_recipes(spark, sf)))
 
 
 def document_corpus(spark, sf) -> DataFrame:

@@ -461,7 +461,7 @@ marked AS (
   SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, method_order) = 1
               AS is_best FROM long)"""], """
 SELECT metric, method, value, is_best,
-       CAST(round_even(value, 2) AS DECIMAL(4, 2)) || CASE WHEN is_best THEN ' *' ELSE '' END AS shown
+       format('{:.2f}', value) || CASE WHEN is_best THEN ' *' ELSE '' END AS shown
 FROM marked"""),
     "prompts_known_item": with_([DOCUMENTS, COUNTS, PROMPTS],
                                 "SELECT query_id, index, variant, query FROM prompts"),

@@ -95,7 +95,7 @@ def fts_pruned_top10(spark, sf) -> DataFrame:
 def retrieve_recipes(spark, sf) -> DataFrame:
     names = src.table(spark, sf, "part").select(F.col("p_name").alias("query")).distinct()
     return retrieve(names.withColumn("query_id", F.col("query")), src.recipe_index(spark, sf),
-                    src.recipes(spark, sf), 10)
+                    src.stored_recipes(spark, sf), 10)
 
 
 def _knn(spark, sf, metric: str) -> DataFrame:
@@ -216,7 +216,7 @@ def _candidates(spark, sf) -> DataFrame:
     rewritten, _, results = src.answers(spark, sf)
     asked = rewritten.select("query_id", F.col("adjusted_query").alias("query"),
                              "excluded_ingredients")
-    return judging.fetch(results.retrieved, src.recipes(spark, sf), "title", "ingredients",
+    return judging.fetch(results.retrieved, src.stored_recipes(spark, sf), "title", "ingredients",
                          "instructions").join(asked, "query_id")
 
 
@@ -455,7 +455,8 @@ def stream_recommend(spark, sf) -> DataFrame:
     src.requests(spark, sf).write.parquet(folder)
     schema = "query_id string, query string"
     recommended, _ = recommend_stream(
-        read_stream(spark, folder, schema), src.recipe_index(spark, sf), src.recipes(spark, sf))
+        read_stream(spark, folder, schema), src.recipe_index(spark, sf),
+        src.stored_recipes(spark, sf))
     return recommended.select("query_id", "position", "index", "relevance_score")
 
 

@@ -9,6 +9,7 @@ shuffled, and a term that occurs in every document is spread over all buckets.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ from larder.session import materialise, materialise_bucketed, spread
 K1 = 1.2
 B = 0.75
 
-# Query terms up to this many rows are sent to every executor (about 100 bytes
-# a row); beyond it Catalyst joins by shuffle and AQE splits the hot terms.
+# Query terms are sent to every executor in parts of about this many rows (some
+# 100 bytes each).  A further part reads the index once more, which moves far
+# less than shuffling the scored (query, document) rows would.
 BROADCAST_ROWS = 500_000
 # (query, document, term) rows of a batch of queries, known exactly from the
 # document counts of its terms.  Beyond this many, scores are compared to a
@@ -105,8 +107,11 @@ def query_terms(queries: DataFrame, index: TextIndex, query: str = "query") -> D
 
 
 def _scores(index: TextIndex, docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``query_id, index, part, matched`` over the documents sharing a term."""
-    return (postings(docs).join(weights, "term")
+    """``query_id, index, part, matched`` over the documents sharing a term.
+
+    ``weights`` holds one part of the query terms.
+    """
+    return (postings(docs).join(F.broadcast(weights), "term")
             .withColumn("gain", _gain(index))
             .groupBy("query_id", "index")
             .agg(F.sum("gain").alias("part"),
@@ -138,24 +143,30 @@ def search(queries: DataFrame, index: TextIndex, k: int = 10, query: str = "quer
     """
     weights = query_terms(queries, index, query)
     size = weights.agg(F.count(F.lit(1)).alias("rows"), F.sum("df").alias("pairs")).first()
-    hint = F.broadcast if size["rows"] <= BROADCAST_ROWS else (lambda df: df)
-    scored = _scores(index, index.docs, hint(weights))
-    if (size["pairs"] or 0) > simple_pairs:
-        floors = _floors(index, weights, k, hint)
-        scored = scored.join(hint(floors), "query_id").where(F.col("part") >= F.col("floor"))
-    scored = scored.select(
-        "query_id", "index", F.round("part", 6).alias("score"), "matched")
-    best = top_k(scored, k, F.desc("score"), F.asc("index"))
-    return best.select("query_id", "rank", "index", "score", "matched")
-
-
-def _floors(index: TextIndex, weights: DataFrame, k: int, hint) -> DataFrame:
+    floored = (size["pairs"] or 0) > simple_pairs
+    parts = max(1, -(-size["rows"] // BROADCAST_ROWS))
+    found = []
+    for part in range(parts):
+        own = weights if parts == 1 else weights.where(
+            F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        scored = _scores(index, index.docs, own)
+        if floored:
+            scored = scored.join(F.broadcast(_floors(index, own, k)), "query_id").where(
+                F.col("part") >= F.col("floor"))
+        scored = scored.select(
+            "query_id", "index", F.round("part", 6).alias("score"), "matched")
+        best = top_k(scored, k, F.desc("score"), F.asc("index"))
+        found.append(best.select("query_id", "rank", "index", "score", "matched"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _floors(index: TextIndex, weights: DataFrame, k: int) -> DataFrame:
     """``query_id, floor``: no document scored below it is in the query's top k.
 
     The k-th best score among some of the documents is never above the k-th
     best among all; it is 0 where fewer than k of them share a term.
     """
-    some = _scores(index, index.sample, hint(weights))
+    some = _scores(index, index.sample, weights)
     kth = (top_k(some, k, F.desc("part"), F.asc("index")).where(F.col("rank") == k)
            .select("query_id", F.col("part").alias("kth")))
     # a little lower, for sums in another order and the rounding of the score

@@ -98,8 +98,9 @@ def rewrite(queries: DataFrame, term_df: DataFrame, query: str = "query",
     A query is a request when at least ``min_share`` of its terms are in the
     corpus vocabulary.
     """
-    parsed = split_exclusions(queries.select("query_id", F.col(query).alias("original_query")),
-                              "original_query")
+    parsed = materialise(split_exclusions(
+        queries.select("query_id", F.col(query).alias("original_query")), "original_query"),
+        "parsed")
     words = parsed.select("query_id", F.posexplode("kept").alias("pos", "term"))
     looked = join_unique(words, look_up(words, term_df), "term")
     # as many entries as the query has words

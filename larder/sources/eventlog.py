@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import row_key
 from larder.schemas import EVENT_LOG
+from larder.session import materialise
 
 DAY = "log_date"
 
@@ -52,7 +53,7 @@ class EventLog:
     def create_sessions(self, users: DataFrame) -> DataFrame:
         """``username`` -> ``session_id``; live sessions get a random id."""
         if "session_id" not in users.columns:
-            users = users.withColumn("session_id", F.expr("uuid()")).checkpoint()
+            users = materialise(users.withColumn("session_id", F.expr("uuid()")), "sessions")
         return self.append("user_sessions", users)
 
     def store_queries(self, queries: DataFrame) -> DataFrame:

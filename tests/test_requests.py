@@ -178,6 +178,15 @@ def test_retrieve(spark, index, corpus):
     assert row.image_path == "data/Food_Images/caprese-salad.jpg"
 
 
+@pytest.mark.parametrize("named", [judging.NAMED_KEYS, 0])
+def test_fetch(spark, corpus, monkeypatch, named):
+    monkeypatch.setattr(judging, "NAMED_KEYS", named)
+    found = spark.createDataFrame([("q", 1), ("r", 1), ("r", 4)], "query_id string, index long")
+    rows = judging.fetch(found, corpus, "title").orderBy("query_id", "index").collect()
+    assert [(r.query_id, r.title) for r in rows] == [
+        ("q", "Onion Soup"), ("r", "Onion Soup"), ("r", "Chicken Curry")]
+
+
 def test_judge_prompt(spark):
     df = spark.createDataFrame(
         [("q", "soup", ["nuts", "milk"], r, f"T{r}", ["a", "b"], "Cook") for r in (2, 1, 3)],

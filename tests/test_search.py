@@ -52,8 +52,10 @@ def test_index(index):
     assert counts[1][1]["tomato"] == 2
 
 
-@pytest.mark.parametrize("pairs", [ft.SIMPLE_PAIRS, 0])
-def test_search_equals_brute_force(spark, index, pairs):
+@pytest.mark.parametrize("pairs, rows", [
+    (ft.SIMPLE_PAIRS, ft.BROADCAST_ROWS), (0, ft.BROADCAST_ROWS), (0, 3)])
+def test_search_equals_brute_force(spark, index, monkeypatch, pairs, rows):
+    monkeypatch.setattr(ft, "BROADCAST_ROWS", rows)
     asked = {"a": "tomato basil soup soup", "b": "the chicken", "c": "unknown words", "d": "the"}
     queries = spark.createDataFrame(list(asked.items()), "query_id string, query string")
     found = defaultdict(list)
