@@ -12,7 +12,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.operators.embed import hashed_vectors
 from larder.operators.fulltext import TextIndex, build_index, term_counts
+from larder.operators.neighbours import VectorIndex, build_vector_index
 from larder.plans.compare import Comparison, compare
 from larder.plans.feedback import fan_out
 from larder.plans.ingest import prepare
@@ -60,6 +62,11 @@ def document_index(spark, sf) -> TextIndex:
     return keep(spark, sf, "document-index", lambda: build_index(documents(spark, sf)))
 
 
+def document_vectors(spark, sf) -> VectorIndex:
+    return keep(spark, sf, "document-vectors", lambda: build_vector_index(materialise(
+        hashed_vectors(document_index(spark, sf).docs), "vectors")))
+
+
 def vectors(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("index"), F.col("embedding").alias("vec"))

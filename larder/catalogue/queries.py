@@ -122,8 +122,8 @@ def embed_hashed(spark, sf) -> DataFrame:
 
 
 def hybrid_rrf_top5(spark, sf) -> DataFrame:
-    index = src.document_index(spark, sf)
-    return hybrid_search(src.passages(spark, sf), index, hashed_vectors(index.docs), 5)
+    return hybrid_search(src.passages(spark, sf), src.document_index(spark, sf),
+                         src.document_vectors(spark, sf), 5)
 
 
 def eval_results(spark, sf) -> DataFrame:

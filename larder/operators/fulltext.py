@@ -96,24 +96,29 @@ def idf(df: Column, n_docs: int) -> Column:
     return F.log(1.0 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def query_terms(queries: DataFrame, index: TextIndex, query: str = "query") -> DataFrame:
-    """Distinct indexed terms per query with their weight; a written table."""
-    asked = queries.select(
-        "query_id", F.explode(F.array_distinct(terms_of(F.col(query)))).alias("term"))
-    asked = materialise(asked, "asked")
+def query_terms(queries: DataFrame, index: TextIndex,
+                query: str = "query") -> tuple[DataFrame, DataFrame]:
+    """Numbered queries, and their distinct indexed terms with weights; both written.
+
+    Scores are grouped by query number, which is cheaper than by a text key.
+    """
+    numbered = materialise(queries.select(
+        F.monotonically_increasing_id().alias("number"), "query_id",
+        F.array_distinct(terms_of(F.col(query))).alias("terms")), "queries")
+    asked = numbered.select("number", F.explode("terms").alias("term"))
     weighted = index.term_df.join(asked, "term").select(
-        "query_id", "term", "df", idf(F.col("df"), index.n_docs).alias("idf"))
-    return materialise(weighted, "query-terms")
+        "number", "term", "df", idf(F.col("df"), index.n_docs).alias("idf"))
+    return numbered.select("number", "query_id"), materialise(weighted, "query-terms")
 
 
 def _scores(index: TextIndex, docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``query_id, index, part, matched`` over the documents sharing a term.
+    """``number, index, part, matched`` over the documents sharing a term.
 
     ``weights`` holds one part of the query terms.
     """
     return (postings(docs).join(F.broadcast(weights), "term")
             .withColumn("gain", _gain(index))
-            .groupBy("query_id", "index")
+            .groupBy("number", "index")
             .agg(F.sum("gain").alias("part"),
                  F.count(F.lit(1)).cast("int").alias("matched")))
 
@@ -141,41 +146,35 @@ def search(queries: DataFrame, index: TextIndex, k: int = 10, query: str = "quer
 
     Documents sharing any term are candidates; ties go to the lower key.
     """
-    weights = query_terms(queries, index, query)
+    names, weights = query_terms(queries, index, query)
     size = weights.agg(F.count(F.lit(1)).alias("rows"), F.sum("df").alias("pairs")).first()
     floored = (size["pairs"] or 0) > simple_pairs
     parts = max(1, -(-size["rows"] // BROADCAST_ROWS))
     found = []
     for part in range(parts):
         own = weights if parts == 1 else weights.where(
-            F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+            F.pmod(F.xxhash64("number"), F.lit(parts)) == part)
         scored = _scores(index, index.docs, own)
         if floored:
-            scored = scored.join(F.broadcast(_floors(index, own, k)), "query_id").where(
+            scored = scored.join(F.broadcast(_floors(index, own, k)), "number").where(
                 F.col("part") >= F.col("floor"))
-        scored = scored.select(
-            "query_id", "index", F.round("part", 6).alias("score"), "matched")
-        best = top_k(scored, k, F.desc("score"), F.asc("index"))
-        found.append(best.select("query_id", "rank", "index", "score", "matched"))
-    return reduce(DataFrame.unionByName, found)
+        scored = scored.withColumn("score", F.round("part", 6))
+        found.append(top_k(scored, k, F.desc("score"), F.asc("index"), by="number"))
+    return reduce(DataFrame.unionByName, found).join(names, "number").select(
+        "query_id", "rank", "index", "score", "matched")
 
 
 def _floors(index: TextIndex, weights: DataFrame, k: int) -> DataFrame:
-    """``query_id, floor``: no document scored below it is in the query's top k.
+    """``number, floor``: no document scored below it is in the query's top k.
 
     The k-th best score among some of the documents is never above the k-th
     best among all; it is 0 where fewer than k of them share a term.
     """
     some = _scores(index, index.sample, weights)
-    kth = (top_k(some, k, F.desc("part"), F.asc("index")).where(F.col("rank") == k)
-           .select("query_id", F.col("part").alias("kth")))
+    kth = (top_k(some, k, F.desc("part"), F.asc("index"), by="number")
+           .where(F.col("rank") == k).select("number", F.col("part").alias("kth")))
     # a little lower, for sums in another order and the rounding of the score
     return materialise(
-        weights.select("query_id").distinct().join(kth, "query_id", "left")
-        .select("query_id", F.greatest(F.coalesce("kth", F.lit(0.0)) - 1e-5, F.lit(0.0))
+        weights.select("number").distinct().join(kth, "number", "left")
+        .select("number", F.greatest(F.coalesce("kth", F.lit(0.0)) - 1e-5, F.lit(0.0))
                 .alias("floor")), "floors")
-
-
-def with_recipe(results: DataFrame, corpus: DataFrame, *columns: str) -> DataFrame:
-    """Fetch corpus columns for the rows of a result list by key."""
-    return results.join(corpus.select("index", *columns), "index")
