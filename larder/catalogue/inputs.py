@@ -54,8 +54,8 @@ def turns(spark, sf) -> DataFrame:
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
         .alias("query_id"),
         F.col("text").alias("query"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
-        .alias("ts"))
+        F.expr("cast(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval("
+               "0, cast(conv_id as int), cast(turn as int), 0) as timestamp)").alias("ts"))
 
 
 def document_index(spark, sf) -> TextIndex:

@@ -11,7 +11,7 @@ from larder.functions.text import (
 from larder.operators import assess as judging
 from larder.operators import audit, lookups, metrics, reports, rewrite
 from larder.operators.embed import embed_texts, hashed_vectors
-from larder.operators.fulltext import corpus_stats, postings, search, top_k
+from larder.operators.fulltext import corpus_stats, search, top_k
 from larder.operators.hybrid import hybrid_search
 from larder.operators.neighbours import build_vectors, knn
 from larder.operators.prompts import known_item_prompts, negation_prompts, prompt_rows
@@ -74,7 +74,7 @@ def fts_index_stats(spark, sf) -> DataFrame:
 
 def fts_postings(spark, sf) -> DataFrame:
     index = src.document_index(spark, sf)
-    return join_unique(postings(index.docs), index.term_df, "term",
+    return join_unique(index.postings, index.term_df, "term",
                        counts=index.term_df.withColumnRenamed("df", "n")).select(
         "term", "index", "tf", "doc_len", "df")
 

@@ -1,9 +1,10 @@
 """Full-text index and BM25 search.
 
-The index keeps one row per document, ``terms`` holding its distinct terms with
-their counts, and is bucketed by document key.  A document's score for a query
-is then complete inside one bucket: only the per-bucket top k of each query is
-shuffled, and a term that occurs in every document is spread over all buckets.
+The index is bucketed by document key.  A document's score for a query is then
+complete inside one bucket: only the per-bucket top k of each query is shuffled,
+and a term that occurs in every document is spread over all buckets.  Large
+batches of queries read it document by document; small ones read the postings,
+sorted by term in each bucket, and there only the pages that hold their terms.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ BROADCAST_ROWS = 500_000
 # document counts of its terms.  Beyond this many, scores are compared to a
 # lower bound of their query's k-th score before they are sorted.
 SIMPLE_PAIRS = 20_000_000
+# Up to this many distinct terms of a batch are named in the filter itself.  Ten
+# to a list: longer lists reach the Parquet reader as a range only.
+NAMED_TERMS = 200
+NAMED_TOGETHER = 10
 # One in this many documents is kept apart to take that lower bound from.
 SAMPLE_ONE_IN = 16
 
@@ -36,7 +41,8 @@ SAMPLE_ONE_IN = 16
 @dataclass(frozen=True)
 class TextIndex:
     docs: DataFrame      # index, doc_len, terms: array<struct<term, tf>>
-    sample: DataFrame    # a part of ``docs``
+    postings: DataFrame  # term, index, tf, doc_len
+    sample: DataFrame    # some of ``docs``
     term_df: DataFrame   # term, df
     n_docs: int
     avg_len: float
@@ -71,12 +77,12 @@ def build_index(docs: DataFrame, key: str = "index", text: str = "text",
                              4 * spark.sparkContext.defaultParallelism)
     counted = term_counts(spread(docs.select(key, text), key), key, text)
     stored = materialise_bucketed(counted, "docs", "index", buckets)
+    entries = materialise_bucketed(postings(stored), "postings", "index", buckets, order="term")
     part = F.pmod(F.xxhash64("index"), F.lit(SAMPLE_ONE_IN)) == 0
     sample = materialise_bucketed(stored.where(part), "sample", "index", buckets)
-    term_df = materialise(
-        postings(stored).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-df")
+    term_df = materialise(entries.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-df")
     totals = stored.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("len")).first()
-    return TextIndex(stored, sample, term_df, totals["n"], totals["len"] or 0.0)
+    return TextIndex(stored, entries, sample, term_df, totals["n"], totals["len"] or 0.0)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -111,12 +117,18 @@ def query_terms(queries: DataFrame, index: TextIndex,
     return numbered.select("number", "query_id"), materialise(weighted, "query-terms")
 
 
-def _scores(index: TextIndex, docs: DataFrame, weights: DataFrame) -> DataFrame:
+def _of_terms(entries: DataFrame, terms: list[str]) -> DataFrame:
+    """Only the postings of ``terms``, as filters that reach the scan."""
+    groups = [terms[at:at + NAMED_TOGETHER] for at in range(0, len(terms), NAMED_TOGETHER)]
+    return entries.where(reduce(lambda a, b: a | b, [F.col("term").isin(g) for g in groups]))
+
+
+def _scores(index: TextIndex, entries: DataFrame, weights: DataFrame) -> DataFrame:
     """``number, index, part, matched`` over the documents sharing a term.
 
     ``weights`` holds one part of the query terms.
     """
-    return (postings(docs).join(F.broadcast(weights), "term")
+    return (entries.join(F.broadcast(weights), "term")
             .withColumn("gain", _gain(index))
             .groupBy("number", "index")
             .agg(F.sum("gain").alias("part"),
@@ -148,13 +160,17 @@ def search(queries: DataFrame, index: TextIndex, k: int = 10, query: str = "quer
     """
     names, weights = query_terms(queries, index, query)
     size = weights.agg(F.count(F.lit(1)).alias("rows"), F.sum("df").alias("pairs")).first()
+    entries = postings(index.docs)
+    if 0 < size["rows"] <= NAMED_TERMS:
+        entries = _of_terms(index.postings, sorted(
+            {row["term"] for row in weights.select("term").collect()}))
     floored = (size["pairs"] or 0) > simple_pairs
     parts = max(1, -(-size["rows"] // BROADCAST_ROWS))
     found = []
     for part in range(parts):
         own = weights if parts == 1 else weights.where(
             F.pmod(F.xxhash64("number"), F.lit(parts)) == part)
-        scored = _scores(index, index.docs, own)
+        scored = _scores(index, entries, own)
         if floored:
             scored = scored.join(F.broadcast(_floors(index, own, k)), "number").where(
                 F.col("part") >= F.col("floor"))
@@ -170,7 +186,7 @@ def _floors(index: TextIndex, weights: DataFrame, k: int) -> DataFrame:
     The k-th best score among some of the documents is never above the k-th
     best among all; it is 0 where fewer than k of them share a term.
     """
-    some = _scores(index, index.sample, weights)
+    some = _scores(index, postings(index.sample), weights)
     kth = (top_k(some, k, F.desc("part"), F.asc("index"), by="number")
            .where(F.col("rank") == k).select("number", F.col("part").alias("kth")))
     # a little lower, for sums in another order and the rounding of the score

@@ -98,15 +98,15 @@ def rewrite(queries: DataFrame, term_df: DataFrame, query: str = "query",
     A query is a request when at least ``min_share`` of its terms are in the
     corpus vocabulary.
     """
-    parsed = materialise(split_exclusions(
-        queries.select("query_id", F.col(query).alias("original_query")), "original_query"),
-        "parsed")
-    words = parsed.select("query_id", F.posexplode("kept").alias("pos", "term"))
+    parsed = materialise(split_exclusions(queries.select(
+        F.monotonically_increasing_id().alias("number"), "query_id",
+        F.col(query).alias("original_query")), "original_query"), "parsed")
+    words = parsed.select("number", F.posexplode("kept").alias("pos", "term"))
     looked = join_unique(words, look_up(words, term_df), "term")
     # as many entries as the query has words
-    rejoined = looked.groupBy("query_id").agg(
+    rejoined = looked.groupBy("number").agg(
         F.sort_array(F.collect_list(F.struct("pos", "term", "known", "fix"))).alias("words"))
-    built = parsed.join(rejoined, "query_id", "left").withColumn(
+    built = parsed.join(rejoined, "number", "left").withColumn(
         "words", F.coalesce("words", F.expr("array()").cast(
             "array<struct<pos:int,term:string,known:boolean,fix:string>>")))
     fixed = F.filter("words", lambda w: w["fix"].isNotNull())

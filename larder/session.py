@@ -70,16 +70,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialise_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
-    """Write ``df`` hash-bucketed by ``key``.
+def materialise_bucketed(df: DataFrame, label: str, key: str, buckets: int,
+                         order: str | None = None) -> DataFrame:
+    """Write ``df`` hash-bucketed by ``key`` and sorted by ``order`` in each bucket.
 
-    Later groupings and joins that include ``key`` need no exchange.
+    Later groupings and joins that include ``key`` need no exchange; filters on
+    ``order`` skip the pages that cannot match.
     """
     spark = df.sparkSession
     path = work_path(spark, label)
     name = "larder_" + path.rsplit("/", 1)[1].replace("-", "_")
-    (df.repartition(buckets, key).write.format("parquet")
-       .bucketBy(buckets, key).option("path", path).saveAsTable(name))
+    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key)
+    if order:
+        writer = writer.sortBy(order)
+    writer.option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

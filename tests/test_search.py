@@ -71,6 +71,7 @@ def test_search_plan_moves_only_top_rows(spark, index, capsys):
     queries = spark.createDataFrame([(1, "the soup")], "query_id long, query string")
     ft.search(queries, index, 3).explain()
     plan = capsys.readouterr().out
+    assert "PushedFilters: [Or(EqualTo" in plan or "PushedFilters: [In(term" in plan
     assert "WindowGroupLimit" in plan and "Bucketed: true" in plan
     # one exchange for the rank and the broadcast of the query terms
     assert plan.count("Exchange hashpartitioning") == 1
