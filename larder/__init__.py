@@ -1,3 +1,11 @@
 """larder: retrieval, recommendation and feedback analytics as Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in tasks travel with the job: executors need no copy of
+# the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

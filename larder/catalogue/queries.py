@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from larder.catalogue import inputs as src
 from larder.functions.text import (
-    image_path, list_to_json, numbered_text, parse_list_text, time_text, view_label)
+    image_path, list_to_json, numbered_text, parse_list_text, time_text)
 from larder.operators import assess as judging
-from larder.operators import audit, lookups, metrics, reports, rewrite
-from larder.operators.embed import embed_texts, hashed_vectors
-from larder.operators.fulltext import corpus_stats, search, top_k
+from larder.operators import audit, lookups, reports, rewrite
+from larder.operators.embed import hashed_vectors
+from larder.operators.fulltext import corpus_stats, search
 from larder.operators.hybrid import hybrid_search
 from larder.operators.neighbours import build_vectors, knn
 from larder.operators.prompts import known_item_prompts, negation_prompts, prompt_rows

@@ -184,3 +184,16 @@ def test_join_unique_with_a_hot_key(spark):
         ours = join_unique(left, right, "k", how, share=0.1)
         assert sorted(map(tuple, ours.collect()), key=str) == sorted(
             map(tuple, left.join(right, "k", how).collect()), key=str)
+
+
+def test_task_functions_need_no_installed_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    packed = tmp_path / "function"
+    packed.write_bytes(cloudpickle.dumps(nb._nearest_pairs))
+    code = ("import pickle, numpy as np; f = pickle.loads(open(%r, 'rb').read());"
+            "print(f(np.eye(2), np.eye(2), 'l2', 1)[1].tolist())" % str(packed))
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert out.stdout.strip() == "[0, 1]", out.stderr
