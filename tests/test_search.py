@@ -84,15 +84,17 @@ def rows(spark, matrix):
 
 
 @pytest.mark.parametrize("metric", nb.METRICS)
-@pytest.mark.parametrize("block_bytes", [nb.BLOCK_BYTES, 4 * 6 * 40])
-def test_knn_equals_brute_force(spark, metric, block_bytes):
+@pytest.mark.parametrize("block_bytes, sample", [
+    (nb.BLOCK_BYTES, nb.SAMPLE_ROWS), (4 * 6 * 40, 20), (4 * 6 * 40, 3)])
+def test_knn_equals_brute_force(spark, monkeypatch, metric, block_bytes, sample):
+    monkeypatch.setattr(nb, "SAMPLE_ROWS", sample)
     rng = np.random.default_rng(1)
     # a third of all vectors are copies of one
     data = np.vstack([np.repeat(rng.normal(size=(1, 6)), 100, axis=0),
                       rng.normal(size=(200, 6)) * rng.uniform(0.5, 3, size=(200, 1))])
     data = data.astype(np.float32)
     vectors = rows(spark, data)
-    index = nb.build_vector_index(vectors, metric, 7, block_bytes=block_bytes)
+    index = nb.build_vector_index(vectors, metric, block_bytes=block_bytes)
     queries = vectors.withColumnRenamed("index", "query_id")
     found = defaultdict(list)
     for row in nb.knn(queries, index, 7).orderBy("query_id", "rank").collect():
@@ -194,6 +196,6 @@ def test_task_functions_need_no_installed_package(tmp_path):
     packed = tmp_path / "function"
     packed.write_bytes(cloudpickle.dumps(nb._nearest_pairs))
     code = ("import pickle, numpy as np; f = pickle.loads(open(%r, 'rb').read());"
-            "print(f(np.eye(2), np.eye(2), 'l2', 1)[1].tolist())" % str(packed))
+            "print(f(np.eye(2), np.eye(2), 'l2', 1, np.ones(2))[1].tolist())" % str(packed))
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert out.stdout.strip() == "[0, 1]", out.stderr
