@@ -46,16 +46,21 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "larde
     return spark
 
 
+_local_dirs: dict[str, str] = {}  # of local applications without the setting
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder under the cluster's checkpoint folder."""
+    application = spark.sparkContext.applicationId
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(
                 f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="larder-work-")
-        spark.conf.set(CHECKPOINT_SETTING, root)
-    return f"{root.rstrip('/')}/larder-{spark.sparkContext.applicationId}"
+        if application not in _local_dirs:
+            _local_dirs[application] = tempfile.mkdtemp(prefix="larder-work-")
+        root = _local_dirs[application]
+    return f"{root.rstrip('/')}/larder-{application}"
 
 
 def work_path(spark: SparkSession, label: str) -> str:

@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from larder.plans.ingest import ingest
 from larder.plans.recommend import answer
 from larder.plans.report import performance_report
 from larder.schemas import EVENT_LOG
+from larder.session import CHECKPOINT_SETTING, shared_dir
 from larder.sources import recipes as src
 from larder.sources.eventlog import EventLog
 from larder.streaming import counters
@@ -246,3 +249,19 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     where = str(tmp_path / "log"), str(tmp_path / "checkpoint")
     before = streams.ingest(stream, *where)["user_clicks"].count()
     assert streams.ingest(stream, *where)["user_clicks"].count() == before == 6
+
+
+class Session:
+    """Stands in for a session to read settings from."""
+
+    def __init__(self, master, root):
+        self.conf = {CHECKPOINT_SETTING: root} if root else {}
+        self.sparkContext = SimpleNamespace(master=master, applicationId=f"app-{master}-{root}")
+
+
+def test_shared_folder():
+    assert shared_dir(Session("yarn", "hdfs://x/work/")).startswith("hdfs://x/work/larder-app")
+    with pytest.raises(RuntimeError):
+        shared_dir(Session("yarn", None))
+    local = Session("local[2]", None)
+    assert shared_dir(local) == shared_dir(local)

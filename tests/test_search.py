@@ -88,6 +88,7 @@ def rows(spark, matrix):
     (nb.BLOCK_BYTES, nb.SAMPLE_ROWS), (4 * 6 * 40, 20), (4 * 6 * 40, 3)])
 def test_knn_equals_brute_force(spark, monkeypatch, metric, block_bytes, sample):
     monkeypatch.setattr(nb, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(nb, "CELL_ROWS", 20)
     rng = np.random.default_rng(1)
     # a third of all vectors are copies of one
     data = np.vstack([np.repeat(rng.normal(size=(1, 6)), 100, axis=0),
