@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracles import compare, duck
+from larder.catalogue.oracles import ORACLES
+from larder.catalogue.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,12 +20,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     difference, rows, _, _ = compare(
-        spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql()[name])
+        spark, con, FOLDER, name, QUERIES[name], ORACLES[name])
     assert difference is None
     assert rows > 0
