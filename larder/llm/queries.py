@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, neardup, rules, substrings
+from larder.llm import mixing, neardup, rules, substrings, tokenfiles, warc
 from larder.llm.tables import read
+from larder.session import work_path
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfiles.write_and_read(read(spark, folder, "documents"), TOKENIZER)
 
 
 def op3_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, folder, "documents"))
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = work_path(spark, "warc")
+    warc.write_archives(read(spark, folder, "pages"), archive)
+    page = lambda uri: F.nullif(F.substring_index(uri, ":", -1), F.lit("")).cast("long")
+    return warc.read_archives(spark, archive, payload="false").select(
+        page("record_id").alias("page_id"), "payload_bytes",
+        F.coalesce("found_digest", "payload_digest").alias("payload_digest"), "record_type",
+        page("refers_to").alias("refers_to"))
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digest_column(
         substrings.remove_repeats(read(spark, folder, "documents")), "kept_text", "kept_sha256")
@@ -30,4 +48,4 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_minhash_neardup, op7_substring_dedup, op9_mixing, op10_quality_rules)}
+    op2_token_planes, op3_minhash_neardup, op4_warc, op7_substring_dedup, op9_mixing, op10_quality_rules)}
