@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, neardup, rules, substrings, tokenfiles, warc
+from larder.llm import mixing, neardup, quality, rules, secrets, substrings, tokenfiles, warc
 from larder.llm.tables import read
 from larder.session import work_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, folder, "documents"), RANKS)
 
 
 def op2_token_planes(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +36,10 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
         page("refers_to").alias("refers_to"))
 
 
+def op6_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digest_column(
         substrings.remove_repeats(read(spark, folder, "documents")), "kept_text", "kept_sha256")
@@ -48,4 +57,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_planes, op3_minhash_neardup, op4_warc, op7_substring_dedup, op9_mixing, op10_quality_rules)}
+    op1_secrets, op2_token_planes, op3_minhash_neardup, op4_warc, op6_pu_quality,
+    op7_substring_dedup, op9_mixing, op10_quality_rules)}
