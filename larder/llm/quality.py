@@ -9,7 +9,7 @@ Then a logistic model minimises the non-negative unbiased risk
     prior * R(good, as good) + max(0, R(other, as bad) - prior * R(good, as bad))
 
 over counts of a text's form: capitals, signs, repeated words and lines, and the
-like, each cut into bins.
+like, each cut into bins.  R uses the sigmoid loss, which is bounded.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ from larder.session import materialise
 
 GOOD_ROWS = 6_000  # at most, of labelled good documents in the fit
 OTHER_ROWS = 12_000  # at most, of documents without their labels
-BINS = 12
-STEPS = 600
-RATE = 0.05
-DECAY = 1e-3
+# Junk lies at the ends of a feature, so the bins are finer there.
+LEVELS = (.002, .005, .01, .02, .04, .07, .1, .2, .35, .5, .65, .8, .9, .93, .96, .98, .99, .995,
+          .998)
+STEPS = 1_500
+RATE = 0.1
+DECAY = 1e-5
 THRESHOLD = 0.3
 DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
 STOPS = np.isin(np.arange(256), list(b".,;:?"))
@@ -102,14 +104,14 @@ def descend(x_good: np.ndarray, x_other: np.ndarray, prior: float | None) -> np.
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
         good, other = sigmoid(x_good @ w), sigmoid(x_other @ w)
-        if prior is None:
+        if prior is None:  # logistic loss
             slope = x_good.T @ (good - 1) / len(good) + x_other.T @ other / len(other)
-        else:  # losses: log(1 + e^-z) as good, log(1 + e^z) as bad
-            as_bad = x_other.T @ other / len(other) - prior * (x_good.T @ good) / len(good)
-            bad = np.mean(-np.log(1 - other + 1e-12)) - prior * np.mean(
-                -np.log(1 - good + 1e-12))
-            as_good = prior * (x_good.T @ (good - 1)) / len(good)
-            slope = as_good + as_bad if bad >= 0 else -as_bad
+        else:  # sigmoid loss: what is no longer in doubt weighs no more
+            lean_good, lean_other = good * (1 - good), other * (1 - other)
+            as_bad = (x_other.T @ lean_other / len(other)
+                      - prior * (x_good.T @ lean_good) / len(good))
+            as_good = -prior * (x_good.T @ lean_good) / len(good)
+            slope = as_good + as_bad if other.mean() >= prior * good.mean() else -as_bad
         slope = slope + DECAY * w
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope ** 2
         w = w - RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
@@ -119,21 +121,21 @@ def descend(x_good: np.ndarray, x_other: np.ndarray, prior: float | None) -> np.
 def estimate_prior(good: np.ndarray, other: np.ndarray) -> float:
     """Share of good rows among ``other`` from scores: the least ratio of upper tails.
 
-    Tails with few good rows vary too much to count; half a per cent allows for it.
+    Each ratio is raised by its standard error, as the least of many is too low.
     """
     levels = np.quantile(good, np.linspace(0, 0.9, 181))
     above_good = 1 - np.searchsorted(np.sort(good), levels) / len(good)
     above_other = 1 - np.searchsorted(np.sort(other), levels) / len(other)
-    error = np.sqrt(np.log(200) / 2) * (1 / np.sqrt(len(good)) + 1 / np.sqrt(len(other)))
-    ratio = (above_other + error / 2) / above_good
-    return float(np.clip(ratio.min(), 0.05, 0.99))
+    ratio = above_other / above_good
+    error = ratio * np.sqrt((1 - above_good) / (above_good * len(good))
+                            + (1 - above_other) / (np.maximum(above_other, 1e-9) * len(other)))
+    return float(np.clip((ratio + error).min(), 0.05, 0.99))
 
 
 def fit(good: np.ndarray, other: np.ndarray) -> Model:
     """A model from feature rows of good and of other documents."""
-    levels = np.linspace(0, 1, BINS + 1)[1:-1]
     both = np.concatenate([good, other])
-    edges = [np.unique(np.concatenate([np.quantile(other[:, i], levels), [both[:, i].min()]]))
+    edges = [np.unique(np.concatenate([np.quantile(other[:, i], LEVELS), [both[:, i].min()]]))
              for i in range(both.shape[1])]
     model = Model(edges, [np.zeros(len(e) + 1) for e in edges], 0.0, 0.5)
     x_good, x_other = one_hot(model, good), one_hot(model, other)

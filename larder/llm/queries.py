@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, neardup, quality, rules, secrets, substrings, tokenfiles, warc
+from larder.llm import mixing, neardup, quality, rules, secrets, substrings, tokenfiles, toxicity, warc
 from larder.llm.tables import read
 from larder.session import work_path
 
@@ -36,6 +36,11 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
         page("refers_to").alias("refers_to"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify_toxicity(read(spark, folder, "documents"),
+                                      read(spark, folder, "labels"))
+
+
 def op6_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -57,5 +62,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secrets, op2_token_planes, op3_minhash_neardup, op4_warc, op6_pu_quality,
+    op1_secrets, op2_token_planes, op3_minhash_neardup, op4_warc, op5_toxicity, op6_pu_quality,
     op7_substring_dedup, op9_mixing, op10_quality_rules)}
