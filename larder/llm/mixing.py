@@ -51,7 +51,8 @@ def budgets(totals: DataFrame, share: float, epochs: int, weights=WEIGHTS) -> Da
         .withColumn("full", F.sum("cap").over(rows(Window.unboundedPreceding, -1)))
         .withColumn("left", F.sum("weight").over(rows(0, Window.unboundedFollowing)))
         .withColumn("fits", fits)
-        .withColumn("spare", F.min(F.when(~F.col("fits"), F.struct(-F.col("left"), spare))).over(level))
+        .withColumn("spare", F.min(
+            F.when(~F.col("fits"), F.struct(-F.col("left"), spare))).over(level))
         .withColumn("target", F.when(F.col("fits"), F.col("cap").cast("double")).otherwise(
             F.col("weight") * F.col("spare.col2") / -F.col("spare.col1")))
         .select("source", "source_size", "target"))

@@ -233,9 +233,10 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a"))
     links = [linked(docs, best, per_cent)]
     found = components(links[0], "near")
-    side = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-    others = (stars.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left")
-              .join(side("b"), "b", "left")
+    left, right = (found.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+                   for end in "ab")
+    others = (stars.join(best, ["a", "b"], "left_anti").join(left, "a", "left")
+              .join(right, "b", "left")
               .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
     pending, rest = materialise(others, "near-pairs"), members.select("key", "id")
     while True:
@@ -267,5 +268,5 @@ def keep_one(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """
     kept = near_duplicates(docs, per_cent).where("kept and doc_id is not null").select(
         F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(docs["doc_id"].isNull()))
+    named = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(docs["doc_id"].isNull()))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, neardup, quality, rules, secrets, substrings, tokenfiles, toxicity, warc
+from larder.llm import (
+    decontaminate, mixing, neardup, quality, rules, secret_scan, substrings, tokenfiles, toxicity,
+    warc)
 from larder.llm.tables import read
 from larder.session import work_path
 
@@ -15,7 +17,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.find_secrets(read(spark, folder, "documents"), RANKS)
+    return secret_scan.find_secrets(read(spark, folder, "documents"), RANKS)
 
 
 def op2_token_planes(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,7 +31,10 @@ def op3_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     archive = work_path(spark, "warc")
     warc.write_archives(read(spark, folder, "pages"), archive)
-    page = lambda uri: F.nullif(F.substring_index(uri, ":", -1), F.lit("")).cast("long")
+
+    def page(uri: str) -> Column:
+        return F.nullif(F.substring_index(uri, ":", -1), F.lit("")).cast("long")
+
     return warc.read_archives(spark, archive, payload="false").select(
         page("record_id").alias("page_id"), "payload_bytes",
         F.coalesce("found_digest", "payload_digest").alias("payload_digest"), "record_type",
@@ -50,17 +55,23 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         substrings.remove_repeats(read(spark, folder, "documents")), "kept_text", "kept_sha256")
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, folder, "documents"),
+                                    read(spark, folder, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan_mix(read(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.apply_rules(read(spark, folder, "documents"), read(spark, folder, "labels")).select(
+    judged = rules.apply_rules(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_secrets, op2_token_planes, op3_minhash_neardup, op4_warc, op5_toxicity, op6_pu_quality,
-    op7_substring_dedup, op9_mixing, op10_quality_rules)}
+    op7_substring_dedup, op8_decontaminate, op9_mixing, op10_quality_rules)}

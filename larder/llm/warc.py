@@ -260,7 +260,7 @@ class WarcReader(DataSourceReader):
         """The files that the writer listed, or else all archives of the folder."""
         system, path = locate(self.folder)
         if system.get_file_info(f"{path}/{LIST}").type == fs.FileType.Directory:
-            listed = parquet.read_table(f"{path}/{LIST}", columns=["path", "n_bytes"], filesystem=system)
+            listed = parquet.read_table(f"{path}/{LIST}", filesystem=system)
             return list(zip(listed["path"].to_pylist(), listed["n_bytes"].to_pylist()))
         infos = system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
         prefix = self.folder[:len(self.folder) - len(path)] if self.folder.endswith(path) else ""
