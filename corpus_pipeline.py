@@ -13,21 +13,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from larder.llm import mixing, neardup  # noqa: E402
+from larder.llm import decontaminate, mixing, neardup, quality, tokenfiles  # noqa: E402
+from larder.llm.queries import TOKENIZER  # noqa: E402
+from larder.llm.tables import read  # noqa: E402
 from larder.session import materialise  # noqa: E402
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, trained on them and ``labels``, does not reject."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that with the least id."""
     return neardup.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no item of ``benchmark``."""
+    return decontaminate.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents by the budgets of their sources, some more than once."""
     return mixing.mix(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("mix_sources", mix_sources)]
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the plane files that are written and read back."""
+    return tokenfiles.write_and_read(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mix_sources),
+    ("token files", token_files),
+]
 
 ORACLE_SQL = None  # a trained classifier decides in the first stage
 
@@ -35,5 +58,5 @@ ORACLE_SQL = None  # a trained classifier decides in the first stage
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

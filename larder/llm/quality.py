@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from larder.llm.rules import SHOUT, SYMBOLS, UPPER, line_counts, repeated_words
 from larder.llm.sampling import draw, held_out
 from larder.llm.tables import labels_of, map_texts, texts
-from larder.llm.words import SPACE, Words, per_text, per_text_bytes
+from larder.llm.words import SPACE, Words, per_text, per_text_bytes, slices
 from larder.session import materialise
 
 GOOD_ROWS = 6_000  # at most, of labelled good documents in the fit
@@ -196,7 +196,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns = docs.columns
 
     def run(batches):
-        from larder.llm.words import slices
         for batch in batches:
             for low, high, data, offsets in slices(batch.column("text")):
                 words = Words(data, offsets)
