@@ -43,8 +43,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """``base`` to the powers 0 to ``n - 1``, modulo 2**64."""
     if base not in _powers or len(_powers[base]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        steps = np.full(size, base, np.uint64)
+        steps = np.full(1 << max(n - 1, 1).bit_length(), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps)
         if n > 8 * SLICE_BYTES:  # of one very long text; not kept
