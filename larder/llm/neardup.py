@@ -8,22 +8,22 @@ sequence (optimal densification).  ``BANDS`` bands of ``ROWS`` entries are the
 buckets.  Two sets of similarity 0.75 share none with a chance of 2e-5.
 
 In a bucket every class is paired with the bucket's least id only, a star.  The
-share of equal entries drops pairs that are over six standard deviations below
-the limit, the others are confirmed on their full sets, and components follow
-from the confirmed links.  A star can miss a link between two classes that are
-both unlike its centre.  So as long as a bucket holds classes of two components,
-the classes outside its largest one become centres in turn and meet all classes
-of the other components; nothing is capped, and a bucket of one component costs
-nothing more.
+share of equal entries drops pairs that are far below the limit, the others are
+confirmed on their full sets, and components follow from the confirmed links.
+
+A star misses a link between two classes that are both unlike its centre.  So
+where a bucket holds classes of several components, those outside its largest
+one are strangers to that component.  The strangers of a component are compared,
+on full sets, with its members and with each other: in tiles of bounded size,
+each a table of overlaps computed at once that hands on the links only.  So no
+pair of a bucket goes unchecked, and no pairs are listed to check them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.components import components
@@ -35,8 +35,10 @@ SHINGLE = 5
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 PER_CENT = 75
-SLACK = 0.20  # below the limit, over six standard deviations of a share of 200 entries
-CENTRES = 16  # further centres that a bucket gets in one round
+SLACK = 0.15  # below the limit, nearly five standard deviations of a share of 200 entries
+TILE_SETS = 128  # about, on either side of a tile
+TILE_BYTES = 1 << 20  # about, of the sets on either side
+BROADCAST_IDS = 500_000  # at most; beyond, texts are joined by a shuffle
 SHINGLE_BASE = 0xA0761D6478BD642F
 SHORT_BASE = 0xE7037ED1A0B428DB
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -162,34 +164,97 @@ def confirm(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return joined.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, per_cent: int) -> DataFrame:
-    """The confirmed ``pairs``; reads the texts of their ends only."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialise(
-        map_texts(docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), _full_sets,
-                  "id long, members binary"), "near-sets")
-    return materialise(confirm(pairs, sets, per_cent), "near-links")
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, members`` of the documents ``ids`` (id): their shingles, sorted, 8 bytes each."""
+    ids = materialise(ids.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return materialise(map_texts(docs.join(ids, "doc_id", "left_semi"), _full_sets,
+                                 "id long, members binary"), "near-sets")
 
 
-def further_pairs(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs that a star could miss, and the bucket members without their centres."""
+def attached(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``grp, id``: the strangers of each component that shares a bucket with them."""
     held = members.join(found, "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component"))
     parts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("key").agg(
         F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
-    ).where("parts > 1").select("key", F.col("main.component").alias("main"))
-    held = materialise(held.join(main, "key"), "near-members")
-    turn = Window.partitionBy("key").orderBy("id")
-    centres = materialise(
-        held.where("component <> main").withColumn("turn", F.row_number().over(turn))
-        .where(F.col("turn") <= CENTRES).select(
-            "key", F.col("id").alias("centre"), F.col("component").alias("of")), "near-centres")
-    pairs = held.join(centres, "key").where("component <> of").select(
-        F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    rest = held.select("key", "id").join(
-        centres.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti")
-    return pairs, rest
+    ).where("parts > 1").select("key", F.col("main.component").alias("grp"))
+    return held.join(main, "key").where("component <> grp").select("grp", "id").distinct()
+
+
+def tiled(rows: DataFrame, side: str) -> DataFrame:
+    """``rows`` (grp, id, component, members) packed into numbered blocks of each group."""
+    blocks = rows.groupBy("grp").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / TILE_SETS),
+        F.ceil(F.sum(F.length("members")) / TILE_BYTES)).cast("int").alias(f"{side}_n"))
+    dealt = rows.join(blocks, "grp").withColumn(
+        side, F.pmod(F.xxhash64("id"), F.col(f"{side}_n")).cast("int"))
+    return dealt.groupBy("grp", f"{side}_n", side).agg(
+        F.collect_list(F.struct("id", "component", "members")).alias(f"{side}_sets"))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all ``left`` with all ``right`` sets."""
+    owner = np.repeat(np.arange(len(right)), [len(r) for r in right])
+    values = np.concatenate(right)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for i, own in enumerate(left):
+        low, high = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[i] = np.bincount(owner[at], minlength=len(right))
+    return out
+
+
+def tile_links(per_cent: int):
+    """Of every tile the links, one for each stranger and component it meets."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                sides = [[(e["id"], e["component"], np.frombuffer(e["members"], np.uint64))
+                          for e in row[k]] for k in ("stranger_sets", "member_sets")]
+                both = overlaps(*([e[2] for e in side] for side in sides))
+                sizes = [np.array([len(e[2]) for e in side]) for side in sides]
+                union = sizes[0][:, None] + sizes[1][None, :] - both
+                links = {}
+                for i, j in np.argwhere(100 * both >= per_cent * union).tolist():
+                    (a, own, _), (b, other, _) = sides[0][i], sides[1][j]
+                    if own != other:
+                        links.setdefault((a, other), b)
+                yield pa.RecordBatch.from_pydict({
+                    "a": pa.array([min(a, b) for (a, _), b in links.items()], pa.int64()),
+                    "b": pa.array([max(a, b) for (a, _), b in links.items()], pa.int64())})
+
+    return run
+
+
+def stranger_links(docs: DataFrame, members: DataFrame, found: DataFrame, per_cent: int
+                   ) -> DataFrame | None:
+    """Links that the stars missed, or None if no bucket holds two components."""
+    strangers = materialise(attached(members, found), "near-strangers")
+    if is_empty(strangers):
+        return None
+    groups = strangers.select("grp").distinct()
+    inside = found.select(F.col("component").alias("grp"), "id").join(groups, "grp").union(
+        groups.select("grp", F.col("grp").alias("id"))).union(strangers).distinct()
+    sets = full_sets(docs, inside.select("id"))
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        return rows.join(found, "id", "left").select(
+            "grp", "id", F.coalesce("component", "id").alias("component")).join(sets, "id")
+
+    left = tiled(with_sets(strangers), "stranger").drop("stranger_n")
+    right = tiled(with_sets(inside), "member")
+    numbers = right.select("grp", "member_n").distinct()
+    left = left.join(numbers, "grp").withColumn(
+        "member", F.explode(F.sequence(F.lit(0), F.col("member_n") - 1))).drop("member_n")
+    tiles = left.join(right.drop("member_n"), ["grp", "member"]).select(
+        "stranger_sets", "member_sets")
+    return materialise(tiles.mapInArrow(tile_links(per_cent), "a long, b long"), "near-links")
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
@@ -225,31 +290,26 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
         F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
     members = materialise(
         buckets.join(shared.select("key", "centre"), "key"), "near-members")
-    sketches = heads.select("id", "sketch").dropDuplicates(["id"])
-    floor = per_cent / 100 - SLACK
+    sketches = heads.select("id", "sketch")
     stars = materialise(alike(
         members.where("centre <> id").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        .distinct(), sketches, floor), "near-stars")
+        .distinct(), sketches, per_cent / 100 - SLACK), "near-stars")
+    sets = full_sets(docs, stars.select(F.col("a").alias("id")).union(stars.select("b")))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a"))
-    links = [linked(docs, best, per_cent)]
-    found = components(links[0], "near")
+    links = materialise(confirm(best, sets, per_cent), "near-links")
+    found = components(links, "near")
     left, right = (found.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
                    for end in "ab")
     others = (stars.join(best, ["a", "b"], "left_anti").join(left, "a", "left")
               .join(right, "b", "left")
               .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    pending, rest = materialise(others, "near-pairs"), members.select("key", "id")
-    while True:
-        if not is_empty(pending):
-            links.append(linked(docs, pending, per_cent))
-            if not is_empty(links[-1]):
-                found = components(reduce(DataFrame.unionByName, links), "near")
-        pairs, rest = further_pairs(rest, found)
-        pairs = materialise(pairs, "near-pairs")
-        if is_empty(pairs):
-            break
-        pending = materialise(alike(pairs, sketches, floor), "near-pairs")
-        rest = materialise(rest, "near-members")
+    more = materialise(confirm(others, sets, per_cent), "near-links")
+    if not is_empty(more):
+        links = links.unionByName(more)
+        found = components(links, "near")
+    missed = stranger_links(docs, members.select("key", "id"), found, per_cent)
+    if missed is not None and not is_empty(missed):
+        found = components(links.unionByName(missed), "near")
     named = classed.join(
         found.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(
         "doc_id", "n_shingles", "class_id",
