@@ -1,8 +1,8 @@
 """Toxicity of a text from its nearest labelled examples.
 
-Terms are words of letters in lower case and their first letters.  Those whose
-presence goes with the label beyond doubt (a chi-squared test) are the
-vocabulary; their document frequencies are counted over all documents.  An
+Terms are words of letters in lower case and their first letters.  Those that
+documents labelled toxic have more often beyond doubt (a chi-squared test) are
+the vocabulary; their document frequencies are counted over all documents.  An
 example is a labelled document as a TF-IDF vector.  The examples with a known
 term make an inverted index: sorted so that similar ones lie together, cut into
 blocks, with the greatest weight of every term in every block.  A text visits
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.sampling import draw, held_out
 from larder.llm.tables import labels_of, map_texts, texts
-from larder.llm.words import BASE, BYTE_CODES, LOWER, Words, mix, rolled, slices
+from larder.llm.words import BASE, BYTE_CODES, LOWER, Words, mix, rolled, slices, windows
 from larder.session import materialise
 
 EXAMPLES = 6_000  # at most, labelled documents in the index
@@ -34,7 +34,9 @@ VOCABULARY = 4_096  # at most
 CHI_SQUARED = 24.0  # about one chance in a million
 PREFIXES = (4, 5, 6)  # bytes
 NEIGHBOURS = 15
-BLOCK = 64
+LIFT = 2.0  # times the share of toxic documents, at least, among those with a term
+BLOCK = 128
+SHINGLE_BASE = 0x8EBC6AF09C88C6E3
 PRIOR_WEIGHT = 0.5  # of the share of toxic examples, as one more vote
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -73,6 +75,32 @@ def known_counts(words: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, ...]
     return pair // len(vocabulary), pair % len(vocabulary), counts
 
 
+def least_shingle(words: Words) -> np.ndarray:
+    """The least hash of five words in a row of every text, equal for most near copies."""
+    starts = words.window_starts(5)
+    value = windows(words.hashes(lower=True), starts, 5, SHINGLE_BASE)
+    least = np.full(words.texts, np.uint64(0xFFFFFFFFFFFFFFFF))
+    np.minimum.at(least, words.text[starts], value)
+    whole = rolled(BYTE_CODES[LOWER[words.data]], words.offsets[:-1], words.offsets[1:], BASE)
+    return np.where(words.counts >= 5, least, whole)
+
+
+def one_of_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row of most groups of near copies, the least id.
+
+    A text copied a hundred times would make all its words look telling.
+    """
+    schema = docs.select("doc_id").schema.add("least", "long")
+
+    def task(batch: pa.RecordBatch, words: Words) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id"),
+            "least": pa.array(least_shingle(words).view(np.int64))})
+
+    first = map_texts(docs, task, schema).groupBy("least").agg(F.min("doc_id").alias("doc_id"))
+    return docs.join(F.broadcast(first.select("doc_id")), "doc_id")
+
+
 def choose_terms(docs: DataFrame, marked: DataFrame) -> np.ndarray:
     """The sorted vocabulary from ``marked`` (doc_id, toxic) documents of ``docs``."""
     def task(batch: pa.RecordBatch, words: Words) -> pa.RecordBatch:
@@ -99,7 +127,8 @@ def choose_terms(docs: DataFrame, marked: DataFrame) -> np.ndarray:
         F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     excess = F.col("bad") - F.col("n") * (bad / n)
     score = excess * excess / (F.col("n") * (bad / n) * (1 - bad / n) * (1 - F.col("n") / (n + 1)))
-    best = (counts.where("n >= 5").withColumn("score", score).where(F.col("score") > CHI_SQUARED)
+    best = (counts.where((F.col("n") >= 5) & (F.col("bad") >= LIFT * bad / n * F.col("n")))
+            .withColumn("score", score).where(F.col("score") > CHI_SQUARED)
             .orderBy(F.col("score").desc(), "term").limit(VOCABULARY).select("term").toPandas())
     return np.sort(best["term"].to_numpy(np.int64).view(np.uint64))
 
@@ -163,10 +192,11 @@ class Index:
             if bounds[block] <= 0 or bounds[block] + 1e-9 < low:
                 break
             base = block * BLOCK
-            score = np.zeros(BLOCK)
-            for start, end, w in zip(self.starts[place * self.blocks + block],
-                                     self.starts[place * self.blocks + block + 1], weight):
-                score[self.examples[start:end] - base] += w * self.weights[start:end]
+            start = self.starts[place * self.blocks + block]
+            n = self.starts[place * self.blocks + block + 1] - start
+            at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            score = np.bincount(self.examples[at] - base,
+                                np.repeat(weight, n) * self.weights[at], minlength=BLOCK)
             some = np.flatnonzero(score > 0)
             best = np.concatenate([best, some + base])
             similar = np.concatenate([similar, score[some]])
@@ -250,10 +280,10 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     drawn = draw(marked, examples + calibration, 5, "toxic")
     drawn = materialise(drawn.withColumn("half", F.pmod(F.xxhash64(F.lit(6), F.col("doc_id")),
                                                         F.lit(2))), "toxic-drawn")
-    sample = materialise(docs.join(F.broadcast(drawn), "doc_id"), "toxic-sample")
+    sample = materialise(one_of_copies(docs.join(F.broadcast(drawn), "doc_id")), "toxic-sample")
     first, second = sample.where("half = 0"), sample.where("half = 1")
     vocabulary = choose_terms(first.select("doc_id", "text"),
-                              drawn.where("half = 0").select("doc_id", "toxic"))
+                              first.select("doc_id", "toxic").distinct())
     found, n = document_frequencies(docs, vocabulary)
     idf = np.log((1 + n) / (1 + found)) + 1
 
