@@ -254,7 +254,7 @@ class WarcReader(DataSourceReader):
                 room = self.bytes
             packed[-1].append(path)
             room -= size
-        return [Files(paths) for paths in packed]
+        return [Files(paths) for paths in packed or [[]]]
 
     def files(self) -> list[tuple[str, int]]:
         """The files that the writer listed, or else all archives of the folder."""
