@@ -101,17 +101,20 @@ def hashed(texts: str, key: str, text: str, name: str) -> str:
     """Vectors of ``texts`` as ``name`` and their entries as ``name_entries``."""
     return f"""
 {name}_weights AS (
-  SELECT {key}, CAST('0x' || substr(md5(term), 1, 4) AS INT) % 64 AS bucket, sum(ln(1 + tf)) AS w
+  SELECT {key}, CAST('0x' || substr(md5(term), 1, 4) AS INT) % 256 AS bucket,
+         sum((1 - 2 * (CAST('0x' || substr(md5(term), 5, 1) AS INT) % 2)) * length(term)
+             * ln(1 + tf)) AS w
   FROM (SELECT {key}, term, count(*) AS tf
         FROM (SELECT {key}, unnest({terms(text)}) AS term FROM {texts}) GROUP BY ALL)
   GROUP BY ALL),
 {name}_entries AS (
   SELECT l.{key}, b.bucket, CAST(round(coalesce(w, 0) / len, 6) AS FLOAT) AS weight
-  FROM (SELECT {key}, sqrt(sum(w * w)) AS len FROM {name}_weights GROUP BY {key}) l
-  CROSS JOIN (SELECT unnest(range(64)) AS bucket) b
+  FROM (SELECT {key}, sqrt(sum(w * w)) AS len FROM {name}_weights GROUP BY {key}
+        HAVING len > 1e-9) l
+  CROSS JOIN (SELECT unnest(range(256)) AS bucket) b
   LEFT JOIN {name}_weights w ON w.{key} = l.{key} AND w.bucket = b.bucket),
 {name} AS (
-  SELECT {key}, CAST(list(weight ORDER BY bucket) AS DOUBLE[64]) AS vec
+  SELECT {key}, CAST(list(weight ORDER BY bucket) AS DOUBLE[256]) AS vec
   FROM {name}_entries GROUP BY {key})"""
 
 
@@ -220,7 +223,7 @@ words AS (
 vocabulary AS (SELECT term, df FROM dfs WHERE df >= 2),
 marks AS (
   SELECT w.term, v.term IS NOT NULL AS known
-  FROM (SELECT DISTINCT term FROM words) w LEFT JOIN vocabulary v USING (term)),
+  FROM (SELECT DISTINCT term FROM words) w LEFT JOIN dfs v USING (term)),
 near AS (
   SELECT u.term, v.term AS fix, v.df,
          levenshtein({letters('u.term')}, {letters('v.term')}) AS distance
@@ -445,7 +448,7 @@ SELECT index, {NUMBERED} AS numbered,
     "knn_cosine_top5": vector_search("cosine"),
     "knn_dot_top5": vector_search("dot"),
     "embed_hashed": with_([DOCUMENTS, hashed("docs", "index", "text", "vectors")], """
-SELECT index, bucket, round(CAST(weight AS DOUBLE), 5) AS weight FROM vectors_entries"""),
+SELECT index, bucket, round(CAST(weight AS DOUBLE), 5) + 0.0 AS weight FROM vectors_entries"""),
     "hybrid_rrf_top5": with_([
         DOCUMENTS, COUNTS, PASSAGES, hashed("docs", "index", "text", "vectors"),
         hashed("queries", "query_id", "query", "asked"), knn("l2", 50, "asked", "vectors", "l2"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.catalogue import inputs as src
 from larder.functions.text import (
@@ -116,9 +117,9 @@ def knn_dot_top5(spark, sf) -> DataFrame:
 
 
 def embed_hashed(spark, sf) -> DataFrame:
-    vectors = hashed_vectors(src.document_index(spark, sf).docs, DIM)
+    vectors = hashed_vectors(src.document_index(spark, sf).docs)
     return vectors.select("index", F.posexplode("vec").alias("bucket", "weight")).select(
-        "index", "bucket", F.round(F.col("weight").cast("double"), 5).alias("weight"))
+        "index", "bucket", (F.round(F.col("weight").cast("double"), 5) + 0.0).alias("weight"))
 
 
 def hybrid_rrf_top5(spark, sf) -> DataFrame:
@@ -409,7 +410,7 @@ def missing_images(spark, sf) -> DataFrame:
 
 def _event_stream(spark, sf) -> DataFrame:
     schema = src.table(spark, sf, "events").schema
-    return read_stream(spark, sf, schema, "events.parquet")
+    return read_stream(spark, f"{sf}/events.parquet", schema)
 
 
 def stream_feedback_daily(spark, sf) -> DataFrame:
@@ -453,7 +454,7 @@ def stream_recommend(spark, sf) -> DataFrame:
     """The requests as a stream; the same answers as for the batch."""
     folder = work_path(spark, "request-stream")
     src.requests(spark, sf).write.parquet(folder)
-    schema = "query_id string, query string"
+    schema = T.StructType().add("query_id", "string").add("query", "string")
     recommended, _ = recommend_stream(
         read_stream(spark, folder, schema), src.recipe_index(spark, sf),
         src.stored_recipes(spark, sf))

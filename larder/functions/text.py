@@ -56,12 +56,6 @@ def image_path(image_name: Column, folder: str = IMAGE_FOLDER) -> Column:
     return F.concat(F.lit(f"{folder}/"), image_name, F.lit(".jpg"))
 
 
-def row_key(*parts: Column) -> Column:
-    """A reproducible surrogate key; needs no global counter."""
-    texts = [F.coalesce(part.cast("string"), F.lit("")) for part in parts]
-    return F.md5(F.concat_ws("\u001f", *texts))
-
-
 def list_to_json(items: Column) -> Column:
     return F.to_json(items)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.schemas import FOREIGN_KEYS
+
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Key values without a parent row, with their number of child rows.
@@ -27,6 +30,12 @@ def audit(links: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
         for name, link in links.items()])
 
 
+def log_audit(read: Callable[[str], DataFrame]) -> DataFrame:
+    """Orphans of the declared keys of the event log; ``read`` gives a table by name."""
+    return audit({f"{child}.{key}": (read(child), key, read(parent), parent_key)
+                  for child, key, parent, parent_key in FOREIGN_KEYS})
+
+
 def missing_images(recipes: DataFrame, listing: DataFrame, path: str = "image_path") -> DataFrame:
     """Recipes whose image path is not in the listing."""
     return recipes.join(listing.select(F.col("path").alias(path)), path, "left_anti")

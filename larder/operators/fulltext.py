@@ -27,9 +27,10 @@ B = 0.75
 # less than shuffling the scored (query, document) rows would.
 BROADCAST_ROWS = 500_000
 # (query, document, term) rows of a batch of queries, known exactly from the
-# document counts of its terms.  Beyond this many, scores are compared to a
-# lower bound of their query's k-th score before they are sorted.
-SIMPLE_PAIRS = 20_000_000
+# document counts of its terms.  Beyond this many, a lower bound of every
+# query's k-th score is found first, and documents that cannot reach it are left
+# out (see ``_pruned``).
+SIMPLE_PAIRS = 1_000_000
 # Up to this many distinct terms of a batch are named in the filter itself.  Ten
 # to a list: longer lists reach the Parquet reader as a range only.
 NAMED_TERMS = 200
@@ -135,10 +136,46 @@ def _scores(index: TextIndex, entries: DataFrame, weights: DataFrame) -> DataFra
                  F.count(F.lit(1)).cast("int").alias("matched")))
 
 
-def _gain(index: TextIndex) -> Column:
-    tf, length = F.col("tf"), F.col("doc_len")
-    scale = K1 * (1.0 - B + B * length / index.avg_len)
-    return F.col("idf") * (tf * (K1 + 1.0) / (tf + scale))
+def _gain(index: TextIndex, tf: Column | None = None, weight: Column | None = None) -> Column:
+    tf = F.col("tf") if tf is None else tf
+    weight = F.col("idf") if weight is None else weight
+    scale = K1 * (1.0 - B + B * F.col("doc_len") / index.avg_len)
+    return weight * (tf * (K1 + 1.0) / (tf + scale))
+
+
+def _pruned(index: TextIndex, entries: DataFrame, weights: DataFrame, floors: DataFrame
+            ) -> DataFrame:
+    """``number, index, part, matched`` of the documents that may reach their floor.
+
+    A term adds less than its idf times K1 + 1.  A query's weakest terms that
+    together stay under the floor make no candidates (MaxScore, Turtle & Flood
+    1995); those are mostly the frequent ones.  A candidate that could not reach
+    the floor with all of them is dropped, and the others are completed from
+    the document itself, in the same bucket.
+    """
+    most = F.col("idf") * (K1 + 1.0)
+    upto = Window.partitionBy("number").orderBy(most, "term").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    split = materialise(
+        weights.join(floors, "number").withColumn("weak", F.sum(most).over(upto) < F.col("floor")),
+        "query-terms")
+    # as many entries as the query has terms
+    rests = split.groupBy("number", "floor").agg(
+        F.collect_list(F.when(F.col("weak"), F.struct("term", "idf"))).alias("rest"),
+        F.coalesce(F.sum(F.when(F.col("weak"), most)), F.lit(0.0)).alias("more"))
+    near = (_scores(index, entries, split.where("NOT weak").select("number", "term", "idf"))
+            .join(F.broadcast(rests), "number").where(F.col("part") + F.col("more") >= F.col("floor")))
+    whole = index.docs.select("index", "doc_len", "terms").join(near.hint("shuffle_hash"), "index")
+
+    def gain(weak: Column) -> Column:
+        tf = F.get(F.filter("terms", lambda entry: entry["term"] == weak["term"]), F.lit(0))["tf"]
+        return _gain(index, tf, weak["idf"])
+
+    gains = whole.withColumn("gains", F.filter(F.transform("rest", gain), lambda g: g.isNotNull()))
+    return gains.select(
+        "number", "index", "floor",
+        F.aggregate("gains", F.col("part"), lambda total, g: total + g).alias("part"),
+        (F.col("matched") + F.size("gains")).alias("matched")).where(F.col("part") >= F.col("floor"))
 
 
 def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id",
@@ -170,10 +207,8 @@ def search(queries: DataFrame, index: TextIndex, k: int = 10, query: str = "quer
     for part in range(parts):
         own = weights if parts == 1 else weights.where(
             F.pmod(F.xxhash64("number"), F.lit(parts)) == part)
-        scored = _scores(index, entries, own)
-        if floored:
-            scored = scored.join(F.broadcast(_floors(index, own, k)), "number").where(
-                F.col("part") >= F.col("floor"))
+        scored = (_pruned(index, entries, own, _floors(index, own, k)) if floored
+                  else _scores(index, entries, own))
         scored = scored.withColumn("score", F.round("part", 6))
         found.append(top_k(scored, k, F.desc("score"), F.asc("index"), by="number"))
     return reduce(DataFrame.unionByName, found).join(names, "number").select(

@@ -15,28 +15,39 @@ def call_model(df: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], sche
                key: str = "query_id", rows: int = 64) -> DataFrame:
     """Map batches through ``call``, ``parallel`` at a time.
 
-    ``schema`` names the columns ``call`` returns and must include ``key``.  A
-    batch that fails ``attempts`` times yields its keys with the text of the
-    failure in ``error``; the other batches go on.
+    ``schema`` names the columns ``call`` returns and must include ``key``.  The
+    rows of a batch that fails are tried one by one; a row that fails
+    ``attempts`` times yields its key with the text of the failure in ``error``.
     """
     out = T.StructType.fromDDL(schema).add("error", T.StringType())
     names = out.fieldNames()
 
+    def tried(part: pd.DataFrame, times: int) -> tuple[pd.DataFrame | None, str]:
+        reason = ""
+        for attempt in range(times):
+            if attempt:
+                time.sleep(wait)
+            try:
+                return call(part).assign(error=None).reindex(columns=names), ""
+            except Exception as failure:  # noqa: BLE001 - reported in the row
+                reason = str(failure) or "failed"
+        return None, reason
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), rows):
                 part = batch.iloc[at:at + rows]
-                for attempt in range(1, attempts + 1):
-                    try:
-                        yield call(part).assign(error=None).reindex(columns=names)
-                        break
-                    except Exception as failure:  # noqa: BLE001 - reported in the row
-                        if attempt == attempts:
-                            failed = part[[key]].assign(error=str(failure) or "failed")
-                            yield failed.reindex(columns=names).astype(object).where(
-                                lambda d: d.notna(), None)
-                        else:
-                            time.sleep(wait)
+                done, _ = tried(part, 1)
+                if done is not None:
+                    yield done
+                    continue
+                for i in range(len(part)):
+                    one = part.iloc[i:i + 1]
+                    done, reason = tried(one, attempts)
+                    if done is None:
+                        done = one[[key]].assign(error=reason).reindex(columns=names)
+                        done = done.astype(object).where(lambda d: d.notna(), None)
+                    yield done
     return df.repartition(parallel).mapInPandas(run, out)
 
 

@@ -48,30 +48,46 @@ def split_exclusions(queries: DataFrame, query: str = "query") -> DataFrame:
             .drop("_marked"))
 
 
-def _deletions(term: str, distance: int) -> str:
-    """All strings left after deleting up to ``distance`` letters, hashed."""
-    def one_less(source: str, var: str) -> str:
-        return (f"transform(sequence(1, length({source})), {var} -> concat("
-                f"substr({source}, 1, {var} - 1), substr({source}, {var} + 1)))")
-    once = one_less(term, "i")
-    found = f"array({term})", once, f"flatten(transform({once}, u -> {one_less('u', 'j')}))"
-    parts = ", ".join(found[:distance + 1])
-    return f"array_distinct(transform(concat({parts}), x -> xxhash64(x)))"
+def _segment(size: str, i: str, parts: int) -> tuple[str, str]:
+    """Start and length of segment ``i`` of a word of ``size`` letters cut into ``parts``."""
+    longer = f"greatest(0, {i} - ({parts} - {size} % {parts}))"
+    start = f"({i} * ({size} div {parts}) + {longer})"
+    return start, f"({size} div {parts} + if({i} >= {parts} - {size} % {parts}, 1, 0))"
+
+
+def _own_segments(term: str, distance: int) -> str:
+    """Hashes of the segments of a word, with its length and their numbers."""
+    start, size = _segment(f"length({term})", "i", distance + 1)
+    return (f"transform(sequence(0, {distance}), i -> xxhash64(length({term}), i, "
+            f"substr({term}, {start} + 1, {size})))")
+
+
+def _possible_segments(term: str, distance: int) -> str:
+    """Hashes of what the segments of a word at most ``distance`` edits away can be."""
+    start, size = _segment("n", "i", distance + 1)
+    shifts = (f"filter(sequence(-{distance}, {distance}), s -> {start} + s >= 0 "
+              f"AND {start} + s + {size} <= length({term}))")
+    each = (f"transform({shifts}, s -> xxhash64(n, i, "
+            f"substr({term}, {start} + s + 1, {size})))")
+    lengths = f"sequence(greatest(1, length({term}) - {distance}), length({term}) + {distance})"
+    return (f"array_distinct(flatten(transform({lengths}, n -> "
+            f"flatten(transform(sequence(0, {distance}), i -> {each})))))")
 
 
 def corrections(unknown: DataFrame, vocabulary: DataFrame,
                 max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``term, fix, distance``: the closest vocabulary term, then the most frequent.
 
-    Two terms at most ``max_distance`` edits apart have a common remainder after
-    that many deletions, so an equi-join on remainders finds all of them.  Both
-    sides hold distinct terms; a remainder is shared by few of them.
+    A word cut into one segment more than there are edits keeps one segment
+    whole, moved by no more than the edits (Li et al. 2011, Pass-Join).  So an
+    equi-join on segments finds all pairs, with a few keys a word whatever its
+    length.
     """
-    def remainders(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select(*columns, F.explode(F.expr(_deletions("term", max_distance))).alias("h"))
-    asked = materialise(remainders(unknown.select("term").distinct(), "term"), "remainders")
-    offered = remainders(vocabulary.select("term", "df"), "term", "df").select(
-        F.col("term").alias("fix"), "df", "h")
+    asked = unknown.select("term").distinct().select(
+        "term", F.explode(F.expr(_possible_segments("term", max_distance))).alias("h"))
+    offered = vocabulary.select(
+        F.col("term").alias("fix"), "df",
+        F.explode(F.expr(_own_segments("term", max_distance))).alias("h"))
     near = offered.join(asked, "h").withColumn(
         "distance", F.levenshtein("term", "fix", max_distance)).where(F.col("distance") >= 0)
     best = near.groupBy("term").agg(
@@ -79,15 +95,22 @@ def corrections(unknown: DataFrame, vocabulary: DataFrame,
     return best.select("term", "best.fix", "best.distance")
 
 
-def look_up(words: DataFrame, term_df: DataFrame, min_df: int = MIN_DF) -> DataFrame:
-    """``term, known, fix`` for every distinct term of ``words``."""
-    vocabulary = term_df.where(F.col("df") >= min_df)
+def look_up(words: DataFrame, term_df: DataFrame, min_df: int = MIN_DF,
+            min_length: int = MIN_LENGTH) -> DataFrame:
+    """``term, known, fix`` for every distinct term of ``words``.
+
+    A term of the corpus is known, however rare, and never corrected.  Others
+    get the closest term that ``min_df`` documents have, unless they are
+    shorter than ``min_length``: two edits make any short word of any other.
+    """
     distinct = materialise(words.select("term").distinct(), "words")
     marked = materialise(
-        distinct.join(vocabulary.select("term", F.lit(True).alias("known")), "term", "left")
+        distinct.join(term_df.select("term", F.lit(True).alias("known")), "term", "left")
         .withColumn("known", F.coalesce("known", F.lit(False))), "known")
-    unknown = marked.where(~F.col("known") & (F.length("term") >= MIN_LENGTH))
-    fixes = materialise(corrections(unknown, vocabulary).select("term", "fix"), "fixes")
+    unknown = marked.where(~F.col("known") & (F.length("term") >= min_length))
+    if not unknown.limit(1).count():
+        return marked.withColumn("fix", F.lit(None).cast("string"))
+    fixes = corrections(unknown, term_df.where(F.col("df") >= min_df)).select("term", "fix")
     return materialise(marked.join(fixes, "term", "left"), "look-up")
 
 

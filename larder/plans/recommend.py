@@ -73,18 +73,20 @@ def status(requests: DataFrame, rejected: DataFrame, recommended: DataFrame) ->
 
 def answer(requests: DataFrame, index: TextIndex, corpus: DataFrame,
            log: EventLog | None = None, k: int = 10, max_recommendations: int = 3,
-           min_score: int = 5) -> tuple[DataFrame, DataFrame, Recommendations]:
+           min_score: int = 5, scorer: Callable[[DataFrame], DataFrame] = assess
+           ) -> tuple[DataFrame, DataFrame, Recommendations]:
     """Rewrite, gate, recommend and log; ``requests`` has ``query_id, query``.
 
     With a ``log`` it also has ``session_id``.  Adjustments of all requests are
-    logged, queries only of those that pass the gate, as rewritten.  Returns the
+    logged, queries only of those that pass the gate, as rewritten.  ``scorer`` is
+    that of ``recommend``, for example a model by ``call_model``.  Returns the
     rewritten requests, their status and the recommendations.
     """
     rewritten = materialise(rewrite(requests, index.term_df), "rewritten")
     valid, rejected = gate(rewritten)
     asked = valid.select("query_id", F.col("adjusted_query").alias("query"),
                          "excluded_ingredients")
-    results = recommend(asked, index, corpus, k, max_recommendations, min_score)
+    results = recommend(asked, index, corpus, k, max_recommendations, min_score, scorer)
     recommended = materialise(results.recommended, "recommended")
     results = Recommendations(results.retrieved, results.assessed, recommended, results.rejects)
     if log is not None:
@@ -101,8 +103,10 @@ def write_log(log: EventLog, requests: DataFrame, rewritten: DataFrame,
     log.store_adjustments(own)
     log.store_queries(own.where("is_recipe_request").select(
         F.col("query_id").alias("id"), "session_id", F.col("adjusted_query").alias("query")))
-    titles = results.assessed.select("query_id", "index", F.col("title").alias("recipe_title"))
-    log.store_retrieved(results.retrieved.join(titles, ["query_id", "index"], "left"))
+    titled = materialise(fetch(results.retrieved, corpus, "title"), "titled").withColumnRenamed(
+        "title", "recipe_title")
+    titles = titled.select("query_id", "index", "recipe_title")
+    log.store_retrieved(titled)
     log.store_assessed(results.assessed.select(
         "query_id", F.col("title").alias("recipe_title"), "is_relevant",
         F.col("reason").alias("relevance_reason"), "relevance_score"))

@@ -47,6 +47,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "larde
 
 
 _local_dirs: dict[str, str] = {}  # of local applications without the setting
+_tables: dict[str, list[str]] = {}  # catalogue names of an application's bucketed tables
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -89,11 +90,14 @@ def materialise_bucketed(df: DataFrame, label: str, key: str, buckets: int,
     if order:
         writer = writer.sortBy(order)
     writer.option("path", path).saveAsTable(name)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
     return spark.table(name)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete this application's work folder."""
+    """Drop this application's tables and delete its work folder."""
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

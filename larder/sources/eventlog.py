@@ -7,7 +7,6 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.text import row_key
 from larder.schemas import EVENT_LOG
 from larder.session import materialise
 
@@ -45,7 +44,7 @@ class EventLog:
 
     def append(self, table: str, rows: DataFrame) -> DataFrame:
         """Append a batch and return it with its keys and times."""
-        stamped = stamp(table, rows)
+        stamped = materialise(stamp(table, rows), "stamped")
         (stamped.withColumn(DAY, F.to_date("ts"))
          .write.insertInto(self._name(table)))
         return stamped
@@ -84,16 +83,15 @@ class EventLog:
 def stamp(table: str, rows: DataFrame) -> DataFrame:
     """Bring rows to a log table's columns; time and key are filled in.
 
-    The default time is one value for the batch, taken now, so that a task run
-    again writes the same rows.
+    The default time is one value for the batch, taken now.  A key that is not
+    given is random, so that equal actions have keys of their own; write the
+    result before reading it twice.
     """
     schema = EVENT_LOG[table]
     if "ts" not in rows.columns:
         rows = rows.withColumn("ts", F.lit(datetime.now(timezone.utc)))
     if "id" in schema.fieldNames() and "id" not in rows.columns:
-        parts = [F.col(c) if not c == "excluded_ingredients" else F.to_json(c)
-                 for c in schema.fieldNames() if c != "id" and c in rows.columns]
-        rows = rows.withColumn("id", row_key(*parts))
+        rows = rows.withColumn("id", F.expr("uuid()"))
     return rows.select(*[
         (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema])

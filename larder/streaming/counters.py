@@ -6,51 +6,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.session import work_path
-from larder.streaming.ingest import LATENESS, run, write_batch
+from larder.streaming.ingest import LATENESS, dedupe, read_batches, run, write_batch
 
+# Every counter takes, for streams that go on later, the ``folder`` its states are
+# written to, the ``checkpoint`` and the ``trigger``; give the same ones again.  An
+# event delivered twice (by ``event_id``) counts once.
 
-def _latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+
+def _timed(events: DataFrame, lateness: str) -> DataFrame:
+    if "event_id" in events.columns:
+        return dedupe(events, "event_id", lateness)
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+
+
+def _latest(stream: DataFrame, keys: list[str], folder: str | None = None,
+            checkpoint: str | None = None, trigger: dict | None = None) -> DataFrame:
     """Run a stream in update mode and read the last state of every group."""
     spark = stream.sparkSession
-    folder = work_path(spark, "counters")
-    run(stream, lambda batch, number: write_batch(batch, folder, number), "update")
+    folder = folder or work_path(spark, "counters")
+    run(stream, lambda batch, number: write_batch(batch, folder, number), "update", checkpoint,
+        trigger)
     values = [c for c in stream.columns if c not in keys]
-    states = spark.read.parquet(folder)
+    states = read_batches(spark, folder, stream.schema)
     newest = states.groupBy(*keys).agg(
         F.max_by(F.struct(*values), "batch").alias("state"))
     return newest.select(*keys, "state.*")
 
 
-def daily_counts(events: DataFrame, kind: Column, lateness: str = LATENESS) -> DataFrame:
+def daily_counts(events: DataFrame, kind: Column, lateness: str = LATENESS,
+                 **where) -> DataFrame:
     """``day, kind, n`` in tumbling windows of a day."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    counted = timed.groupBy(F.window("ts", "1 day").alias("w"), kind.alias("kind")).agg(
+    counted = _timed(events, lateness).groupBy(F.window("ts", "1 day").alias("w"), kind.alias("kind")).agg(
         F.count(F.lit(1)).alias("n"))
     flat = counted.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "kind", "n")
-    return _latest(flat, ["day", "kind"])
+    return _latest(flat, ["day", "kind"], **where)
 
 
-def sessions(events: DataFrame, key: str = "session_id", lateness: str = LATENESS) -> DataFrame:
+def sessions(events: DataFrame, key: str = "session_id", lateness: str = LATENESS,
+             **where) -> DataFrame:
     """First and last event and number of events per session."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    seen = timed.groupBy(key).agg(
+    seen = _timed(events, lateness).groupBy(key).agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         F.count(F.lit(1)).alias("n"))
-    return _latest(seen, [key])
+    return _latest(seen, [key], **where)
 
 
 def visits(events: DataFrame, key: str = "session_id", gap: str = "30 minutes",
-           lateness: str = LATENESS) -> DataFrame:
+           lateness: str = LATENESS, folder: str | None = None, checkpoint: str | None = None,
+           trigger: dict | None = None) -> DataFrame:
     """Stretches of activity parted by ``gap`` without events.
 
     A stretch is written once, when the watermark has passed its end; the last
     ones stay open.
     """
     spark = events.sparkSession
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    grouped = timed.groupBy(F.session_window("ts", gap).alias("w"), key).agg(
+    grouped = _timed(events, lateness).groupBy(F.session_window("ts", gap).alias("w"), key).agg(
         F.count(F.lit(1)).alias("n"))
     flat = grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-    folder = work_path(spark, "visits")
-    run(flat, lambda batch, number: write_batch(batch, folder, number), "append")
-    return spark.read.parquet(folder).drop("batch")
+    folder = folder or work_path(spark, "visits")
+    run(flat, lambda batch, number: write_batch(batch, folder, number), "append", checkpoint,
+        trigger)
+    return read_batches(spark, folder, flat.schema).drop("batch")

@@ -7,16 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.plans.feedback import fan_out
+from larder.schemas import EVENT_LOG
 from larder.session import work_path
 from larder.sources.eventlog import stamp
 
 LATENESS = "10 minutes"
 
 
-def read_stream(spark: SparkSession, folder: str, schema: T.StructType,
-                files: str = "*.parquet") -> DataFrame:
-    """A Parquet folder as a stream of its files."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder))
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()) \
+        .getFileStatus(where).isDirectory()
+
+
+def read_stream(spark: SparkSession, path: str, schema: T.StructType,
+                files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream: the files of a folder, or one file."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if is_folder(spark, path):
+        folder, name = path, "*.parquet"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(folder)
 
 
 def dedupe(events: DataFrame, key: str = "event_id", lateness: str = LATENESS) -> DataFrame:
@@ -25,11 +38,18 @@ def dedupe(events: DataFrame, key: str = "event_id", lateness: str = LATENESS) -
     return timed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
 
 
-def run(stream: DataFrame, write, mode: str, checkpoint: str | None = None) -> None:
-    """Work off what is there and stop; ``write`` gets each batch and its number."""
+def run(stream: DataFrame, write, mode: str, checkpoint: str | None = None,
+        trigger: dict | None = None) -> None:
+    """Work off the stream; ``write`` gets each batch and its number.
+
+    By default that is what is there now.  With another ``trigger`` the call
+    returns when the query is stopped.  The same ``checkpoint`` goes on where
+    an earlier call stopped.
+    """
     checkpoint = checkpoint or work_path(stream.sparkSession, "stream-checkpoint")
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+             .option("checkpointLocation", checkpoint)
+             .trigger(**(trigger or {"availableNow": True})).start())
     query.awaitTermination()
 
 
@@ -38,18 +58,40 @@ def write_batch(batch: DataFrame, folder: str, number: int) -> None:
     batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
 
-def ingest(actions: DataFrame, folder: str | None = None,
-           checkpoint: str | None = None) -> dict[str, DataFrame]:
-    """Route deduplicated actions to log tables below ``folder``."""
+def read_batches(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """What ``write_batch`` has written, with the number in ``batch``; empty if nothing came."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    numbered = T.StructType([*schema, T.StructField("batch", T.LongType())])
+    if not system.exists(where):
+        return spark.createDataFrame([], numbered)
+    return spark.read.schema(numbered).parquet(folder)
+
+
+def ingest(actions: DataFrame, folder: str | None = None, checkpoint: str | None = None,
+           trigger: dict | None = None) -> dict[str, DataFrame]:
+    """Route deduplicated actions to log tables below ``folder``.
+
+    A session's logins may come in several batches; its start is its first
+    login, as in a batch.
+    """
     spark = actions.sparkSession
     folder = folder or work_path(spark, "log")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        for table, rows in fan_out(batch).items():
-            write_batch(stamp(table, rows), f"{folder}/{table}", number)
-        batch.unpersist()
-
-    run(dedupe(actions), write, "append", checkpoint)
-    tables = ("user_sessions", "user_feedback", "user_clicks", "bad_image_feedback")
-    return {t: spark.read.parquet(f"{folder}/{t}").drop("batch") for t in tables}
+        try:
+            for table, rows in fan_out(batch).items():
+                write_batch(stamp(table, rows), f"{folder}/{table}", number)
+        finally:
+            batch.unpersist()
+
+    run(dedupe(actions), write, "append", checkpoint, trigger)
+    tables = {t: read_batches(spark, f"{folder}/{t}", EVENT_LOG[t]).drop("batch")
+              for t in ("user_sessions", "user_feedback", "user_clicks", "bad_image_feedback")}
+    starts = tables["user_sessions"]
+    others = [c for c in starts.columns if c != "session_id"]
+    tables["user_sessions"] = starts.groupBy("session_id").agg(
+        F.min_by(F.struct(*others), "ts").alias("first")).select(
+        *(F.col(c) if c == "session_id" else F.col(f"first.{c}") for c in starts.columns))
+    return tables

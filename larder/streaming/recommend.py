@@ -3,24 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.operators.fulltext import TextIndex
 from larder.plans.recommend import answer
 from larder.session import work_path
-from larder.streaming.ingest import run, write_batch
+from larder.streaming.ingest import read_batches, run, write_batch
 
 
 def recommend_stream(requests: DataFrame, index: TextIndex, corpus: DataFrame,
-                     **options) -> tuple[DataFrame, DataFrame]:
-    """Answer every micro-batch; returns the recommendations and the status."""
+                     folder: str | None = None, checkpoint: str | None = None,
+                     trigger: dict | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Answer every micro-batch; returns the recommendations and the status.
+
+    The same ``folder`` and ``checkpoint`` go on where an earlier call stopped.
+    """
     spark = requests.sparkSession
-    folder = work_path(spark, "answers")
+    key = requests.schema["query_id"]
+    recommended = T.StructType([key]).add("position", T.IntegerType()).add(
+        "index", T.LongType()).add("relevance_score", T.IntegerType())
+    status = T.StructType([key]).add("status", T.StringType()).add(
+        "recommendations", T.LongType()).add("message", T.StringType())
+    folder = folder or work_path(spark, "answers")
 
     def write(batch: DataFrame, number: int) -> None:
         _, outcome, results = answer(batch, index, corpus, **options)
-        write_batch(results.recommended, f"{folder}/recommended", number)
-        write_batch(outcome, f"{folder}/status", number)
+        for name, rows, schema in (("recommended", results.recommended, recommended),
+                                   ("status", outcome, status)):
+            write_batch(rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)),
+                        f"{folder}/{name}", number)
 
-    run(requests, write, "append")
-    return (spark.read.parquet(f"{folder}/recommended").drop("batch"),
-            spark.read.parquet(f"{folder}/status").drop("batch"))
+    run(requests, write, "append", checkpoint, trigger)
+    return tuple(read_batches(spark, f"{folder}/{name}", schema).drop("batch")
+                 for name, schema in (("recommended", recommended), ("status", status)))

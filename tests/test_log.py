@@ -1,3 +1,4 @@
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -56,13 +57,15 @@ def hits(spark):
         [(0, 100, 1), (1, 7, 1), (1, 101, 2), (2, 8, 1), (2, 102, 4), (3, 9, 1)],
         "query_id long, index long, rank int")
     stacked = metrics.stack_methods({"one": found, "two": found})
-    return metrics.first_hits(stacked, truth)
+    return metrics.first_hits(stacked, truth, ["one", "two", "none"])
 
 
 def test_metrics(spark):
     row = metrics.method_metrics(hits(spark)).where("method = 'one'").first()
     assert (row.mrr_1, row.mrr_3, row.mrr_5) == (0.25, 0.375, 0.4375)
     assert (row.recall_1, row.recall_3, row.recall_5) == (0.25, 0.5, 0.75)
+    empty = metrics.method_metrics(hits(spark)).where("method = 'none'").first()
+    assert (empty.mrr_5, empty.recall_5) == (0.0, 0.0)
     assert metrics.mrr_at_k(hits(spark).where("method = 'one'"), 3).first()[0] == 0.375
     assert metrics.recall_at_k(hits(spark).where("false"), 3).first()[0] is None
 
@@ -168,6 +171,15 @@ def test_event_log(spark):
         spark.createDataFrame([("gone",), ("gone",), (ann,)], "session_id string"),
         "session_id", log.read("user_sessions"), "session_id")
     assert orphaned.collect() == [("gone", 2)]
+    click = spark.createDataFrame([(ann, "x", "Liked")] * 2,
+                                  "session_id string, recipe_title string, click_type string")
+    twins = log.store_clicks(click)
+    assert len({r.id for r in twins.collect()}) == 2
+    assert {r.id for r in twins.collect()} <= {r.id for r in log.read("user_clicks").collect()}
+    assert audit.log_audit(log.read).count() == 0
+    log.store_clicks(click.withColumn("session_id", F.lit("gone")))
+    assert [(r.link, r.key, r.child_rows) for r in audit.log_audit(log.read).collect()] == [
+        ("user_clicks.session_id", "gone", 2)]
     log.reset()
     assert all(log.read(t).count() == 0 for t in log.tables())
 
@@ -238,10 +250,46 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_stream_counters(spark, tmp_path):
     batch, stream = actions(spark, tmp_path)
     daily = counters.daily_counts(stream, F.col("action"))
-    assert daily.agg(F.sum("n")).first()[0] == 16
+    assert daily.agg(F.sum("n")).first()[0] == 8  # delivered twice, counted once
     assert {r.day for r in daily.collect()} == {"2024-01-01", "2024-01-02"}
     seen = {r.session_id: r.n for r in counters.sessions(stream).collect()}
-    assert seen == {"s0": 8, "s1": 8}
+    assert seen == {"s0": 4, "s1": 4}
+
+
+def several_files(spark, path):
+    """A folder of four files, one late row in the last, as a stream of one file a batch."""
+    rows = [(i, f"2024-01-01 0{i}:00:00", f"s{i % 2}", "u", "pie", "login" if i < 4 else "like",
+             None) for i in range(6)] + [(9, "2023-12-01 00:00:00", "s0", "u", "pie", "like", None)]
+    df = spark.createDataFrame(rows, ACTIONS.replace("ts timestamp", "ts string")).withColumn(
+        "ts", F.to_timestamp("ts"))
+    for low in (0, 2, 4, 6):
+        part = df.where(f"event_id BETWEEN {low} AND {low + 1}" if low < 6 else "event_id = 9")
+        part.coalesce(1).write.parquet(path, mode="append")
+        time.sleep(0.02)
+    return df, streams.read_stream(spark, path, df.schema, files_per_batch=1)
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    batch, stream = several_files(spark, str(tmp_path / "in"))
+    batch = batch.where("event_id < 9")
+    starts = streams.ingest(stream, str(tmp_path / "log"))["user_sessions"]
+    expected = fan_out(batch)["user_sessions"].select(*starts.columns)
+    assert sorted(map(str, starts.collect())) == sorted(map(str, expected.collect()))
+    where = {"folder": str(tmp_path / "states"), "checkpoint": str(tmp_path / "checkpoint")}
+    first = {r.session_id: r.n for r in counters.sessions(stream, **where).collect()}
+    batch.where("event_id = 5").withColumn("event_id", F.lit(7).cast("long")).coalesce(1).write.parquet(
+        str(tmp_path / "in"), mode="append")
+    again = {r.session_id: r.n for r in counters.sessions(stream, **where).collect()}
+    assert first == {"s0": 3, "s1": 3} and again == {"s0": 3, "s1": 4}
+
+
+def test_stream_without_rows(spark, tmp_path):
+    batch, _ = several_files(spark, str(tmp_path / "in"))
+    batch.where("false").write.parquet(str(tmp_path / "none"))
+    empty = streams.read_stream(spark, str(tmp_path / "none"), batch.schema)
+    assert streams.ingest(empty, str(tmp_path / "log"))["user_clicks"].count() == 0
+    assert counters.daily_counts(empty, F.col("action")).count() == 0
+    assert counters.visits(empty).columns == ["session_id", "start", "end", "n"]
 
 
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):

@@ -86,6 +86,16 @@ def test_spelling_finds_all_within_two_edits(spark):
     assert ours == {a: (b, d) for a, (d, b) in want.items()}
 
 
+def test_words_of_the_corpus_are_not_corrected(spark):
+    term_df = spark.createDataFrame([("quinoa", 1), ("quinta", 9), ("salad", 9)],
+                                    "term string, df long")
+    words = spark.createDataFrame([(t,) for t in ("quinoa", "salat", "sal", "x" * 5000)],
+                                  "term string")
+    assert {r.term: (r.known, r.fix) for r in rewrite.look_up(words, term_df).collect()} == {
+        "quinoa": (True, None), "salat": (False, "salad"), "sal": (False, None),
+        "x" * 5000: (False, None)}
+
+
 def test_rewrite_and_gate(spark, index):
     df = spark.createDataFrame([
         (1, "tomatto soup without onion"), (2, "what's the weather like today"), (3, "no nuts")],
@@ -209,7 +219,7 @@ def test_prompts(spark, index):
         for prompt in row.prompts:
             assert prompt.split(" without ")[1] not in texts[row["index"]].split()
     vectors = prompts.embed_prompt_lists(known).collect()
-    assert all(len(r.vectors) == 5 and len(r.vectors[0]) == 64 for r in vectors)
+    assert all(len(r.vectors) == 5 and len(r.vectors[0]) == 256 for r in vectors)
     only = prompts.known_item_prompts(index, spark.createDataFrame([(2,)], "index long"))
     assert only.collect() == known.where("index = 2").collect()
 
@@ -239,3 +249,11 @@ def test_model_hook(spark, tmp_path):
     assert (good.count(), bad.count()) == (10, 0)
     failed = hooks.call_model(df, never, "query_id long, score int", wait=0.0)
     assert failed.where("error = 'no model' and score is null").count() == 10
+
+    def picky(batch):
+        if (batch["query_id"] == 3).any():
+            raise RuntimeError("not this one")
+        return batch[["query_id"]].assign(score=1)
+    good, bad = hooks.split_failures(
+        hooks.call_model(df, picky, "query_id long, score int", parallel=1, wait=0.0))
+    assert good.count() == 9 and [r.query_id for r in bad.collect()] == [3]
