@@ -4,8 +4,8 @@ The tokenizer cuts a text into pieces (words with the space before them, digits,
 signs, white space) and encodes each alone.  A text is cut here at its spaces:
 a space begins a piece, and what follows up to the next space is encoded as it
 would be in the text, unless a run of white space reaches over the next cut.
-Such texts are encoded as a whole.  The ids of the parts met first are kept, so
-the tokenizer itself sees few of the words.
+Such texts, and those with a special token's string, are encoded as a whole.  The
+ids of the parts met first are kept, so the tokenizer itself sees few of the words.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from tokenizers import Tokenizer
 
 from larder.llm.files import kept
 
-KEEP = 400_000  # parts, and as many pieces, whose ids a worker keeps
+# Whose ids a worker keeps, some 200 bytes each.
+KEEP_PARTS = 200_000
+KEEP_PIECES = 350_000
+MARK = "\r"  # between words that are encoded in one go
 CROSSING = re.compile(r"\s (?:\s|\Z)")
 # Characters whose class does not depend on the Unicode version.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -25,6 +28,7 @@ PLAIN = re.compile(f"[ -~\n{_LETTERS}]*")
 # Fixed value: the pattern of the byte-level vocabulary, on plain characters.
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+"
                     rf"| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+WORD = re.compile(f" [{_LETTERS}]+")
 ID_TYPE = np.dtype("<u4")
 
 
@@ -35,21 +39,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        # strings that are tokens of their own wherever they stand
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        one, mark, two = (self.tokenizer.encode(t, add_special_tokens=False).ids
+                          for t in (" one", MARK, " two"))
+        joined = self.tokenizer.encode(f" one{MARK} two", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 and joined == one + mark + two else None
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """The tokenizer's own answer."""
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, ID_TYPE).tobytes() for e in encoded]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters after a space, encoded as one text with marks between."""
+        if self.mark is None or not words:
+            return self.plain(words)
+        ids = np.array(self.tokenizer.encode_batch_fast(
+            [MARK.join(words)], add_special_tokens=False)[0].ids, ID_TYPE)
+        cuts = np.flatnonzero(ids == self.mark).tolist()
+        raw = ids.tobytes()
+        return [raw[4 * low:4 * high]
+                for low, high in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if CROSSING.search(t)]
+        whole = [i for i, t in enumerate(texts)
+                 if CROSSING.search(t) or any(a in t for a in self.added)]
         out = dict(zip(whole, self.plain([texts[i] for i in whole])))
         cut = {i: t.split(" ") for i, t in enumerate(texts) if i not in out}
-        unknown = {p for parts in cut.values() for p in parts[1:] if p not in self.parts}
+        unknown = set().union(*cut.values()).difference(self.parts)
         ids = self.encode_parts([" " + p for p in unknown] + [p[0] for p in cut.values()])
         heads = dict(zip(cut, ids[len(unknown):]))
         fresh = dict(zip(unknown, ids))
-        if len(self.parts) + len(fresh) <= KEEP:
+        if len(self.parts) + len(fresh) <= KEEP_PARTS:
             self.parts.update(fresh)
             known = self.parts
         else:
@@ -61,8 +83,10 @@ class Encoder:
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         pieces = [PIECES.findall(p) if PLAIN.fullmatch(p) else [p] for p in parts]
         unknown = list({q for own in pieces for q in own if q not in self.pieces})
-        fresh = dict(zip(unknown, self.plain(unknown)))
-        if len(self.pieces) + len(fresh) <= KEEP:
+        words = [q for q in unknown if WORD.fullmatch(q)]
+        others = [q for q in unknown if not WORD.fullmatch(q)]
+        fresh = dict(zip(words, self.words(words))) | dict(zip(others, self.plain(others)))
+        if len(self.pieces) + len(fresh) <= KEEP_PIECES:
             self.pieces.update(fresh)
             fresh = self.pieces
         else:

@@ -34,6 +34,7 @@ from larder.session import materialise, work_path
 MAGIC = b"LARDPLN1"
 BLOCK = 1 << 16
 END_ID = 0
+ENCODED_BYTES = 1 << 19  # of text, encoded in one go
 HEAD = np.dtype([(k, "<i8") for k in ("bits", "block", "blocks", "planes", "docs", "ids")])
 LEVEL = 1
 
@@ -175,7 +176,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, bits: bool = Fals
         end = np.array([END_ID], ID_TYPE).tobytes()
         for batch in batches:
             text = batch.column("text").fill_null("")
-            for low, high, _, _ in slices(text):
+            for low, high, _, _ in slices(text, ENCODED_BYTES):
                 for own in encode.encode(text.slice(low, high - low).to_pylist()):
                     counts.append(len(own) // 4 + 1)
                     writer.add(own + end)
