@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from larder.llm.words import Words, slices
 
+BATCH_ROWS = 1_000
+
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns of ``df``, as the given types; others may clash."""
@@ -18,6 +20,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, the columns ``more`` and ``text``.
+
+    Rows go to Python in batches of at most ``BATCH_ROWS`` from here on: texts and
+    sets of shingles are long, and a batch is held by both sides.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return pick(docs, doc_id="long", **dict.fromkeys(more, "string"), text="string")
 
 
