@@ -449,6 +449,31 @@ def test_leaks_are_found_and_others_left(spark):
     assert kept == {r[0] for r in rows} - {d for d, _ in expected}
 
 
+def zipf_prose(rng, n):
+    return " ".join(f"z{int(60 * 2000 ** rng.random())}" for _ in range(n))
+
+
+def test_many_items_are_all_found(spark):
+    """More items than the rank of a space, verbatim and paraphrased, against the plain rule."""
+    rng = random.Random(10)
+    items = [zipf_prose(rng, 40) for _ in range(1050)]
+    rows, planted = [], []
+    for i in range(600):
+        leak = items[i].split(" ")
+        if i % 2:  # a third of the words before the answer
+            for j in rng.sample(range(30), 10):
+                leak[j] = f"other{rng.randrange(10**6)}"
+        rows.append((i, f"{zipf_prose(rng, rng.randrange(40, 90))} {' '.join(leak)} "
+                        f"{zipf_prose(rng, 60)}", None))
+        planted.append(decontaminate.common(items[i].split(" "), rows[-1][1].split(" ")) >= 30)
+    assert all(planted)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), bench).collect()
+    missed = set(range(600)) - {r["doc_id"] for r in found if r["doc_id"] == r["item_id"]}
+    assert not missed, (len(missed), sorted(missed)[:9])
+    assert len(found) == 600
+
+
 def test_leaks_of_empty_tables(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(docs, none).count() == 0
