@@ -474,6 +474,30 @@ def test_many_items_are_all_found(spark):
     assert len(found) == 600
 
 
+def test_long_items_are_found(spark):
+    """Whole contexts of 600 words, some with every fifth word replaced."""
+    rng = random.Random(11)
+    items = [zipf_prose(rng, 600) for _ in range(40)]
+    rows = []
+    for i, item in enumerate(items):
+        leak = [f"other{j}" if i % 2 and j % 5 == 0 else w for j, w in enumerate(item.split(" "))]
+        rows.append((i, f"{zipf_prose(rng, rng.randrange(300))} {' '.join(leak)} "
+                        f"{zipf_prose(rng, 300)}", None))
+    rows += [(i, zipf_prose(rng, 800), None) for i in range(100, 140)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(i, i) for i in range(40)]
+
+
+def test_pieces_of_items():
+    own = " \n".join(f"ü{i}" for i in range(49))
+    owners, texts = decontaminate.pieces(["a b", own])
+    assert owners.tolist() == [0, 1, 1, 1] and texts[0] == "a b"
+    assert [brute.words(t) for t in texts[1:]] == [
+        own.split()[a:b] for a, b in ((0, 32), (16, 48), (32, 49))]
+    assert decontaminate.groups(["a"] * 3000) == [(0, 1536), (1536, 3000)]
+
+
 def test_leaks_of_empty_tables(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(docs, none).count() == 0
