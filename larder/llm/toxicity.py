@@ -1,10 +1,10 @@
 """Toxicity of a text from its nearest labelled examples.
 
 Terms are words of letters in lower case and their first letters.  Those that
-documents labelled toxic have more often beyond doubt (a chi-squared test) are
-the vocabulary; their document frequencies are counted over all documents.  An
-example is a labelled document as a TF-IDF vector.  The examples with a known
-term make an inverted index: sorted so that similar ones lie together, cut into
+documents labelled toxic have more or less often than others beyond doubt (a
+chi-squared test) are the vocabulary, and one term that every text has; their
+document frequencies are counted over all documents.  An example is a labelled
+document as a TF-IDF vector.  The examples make an inverted index: sorted so that similar ones lie together, cut into
 blocks, with the greatest weight of every term in every block.  A text visits
 the blocks by their bound, the sum of its weights times the blocks' greatest
 weights, and stops at the first whose bound is under the k-th similarity found,
@@ -30,11 +30,12 @@ from larder.session import materialise
 
 EXAMPLES = 6_000  # at most, labelled documents in the index
 CALIBRATION = 6_000  # at most, labelled documents for the steps
-VOCABULARY = 4_096  # at most
+VOCABULARY = 4_096  # at most, for each of the classes
+EVERY = np.uint64(0)  # the term of every text, the first of a vocabulary
 CHI_SQUARED = 24.0  # about one chance in a million
 PREFIXES = (4, 5, 6)  # bytes
 NEIGHBOURS = 15
-LIFT = 2.0  # times the share of toxic documents, at least, among those with a term
+LIFT = 2.0  # times the odds of the other documents, at least, for a class among those with a term
 BLOCK = 128
 SHINGLE_BASE = 0x8EBC6AF09C88C6E3
 PRIOR_WEIGHT = 0.5  # of the share of toxic examples, as one more vote
@@ -69,6 +70,8 @@ def known_counts(words: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, ...]
     if not len(vocabulary):
         return (np.zeros(0, np.int64),) * 3
     text, term = term_rows(words)
+    text = np.concatenate([text, np.arange(words.texts)])
+    term = np.concatenate([term, np.full(words.texts, EVERY)])
     place = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
     known = vocabulary[place] == term
     pair, counts = np.unique(text[known] * len(vocabulary) + place[known], return_counts=True)
@@ -127,10 +130,17 @@ def choose_terms(docs: DataFrame, marked: DataFrame) -> np.ndarray:
         F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     excess = F.col("bad") - F.col("n") * (bad / n)
     score = excess * excess / (F.col("n") * (bad / n) * (1 - bad / n) * (1 - F.col("n") / (n + 1)))
-    best = (counts.where((F.col("n") >= 5) & (F.col("bad") >= LIFT * bad / n * F.col("n")))
-            .withColumn("score", score).where(F.col("score") > CHI_SQUARED)
-            .orderBy(F.col("score").desc(), "term").limit(VOCABULARY).select("term").toPandas())
-    return np.sort(best["term"].to_numpy(np.int64).view(np.uint64))
+    # how the odds of a toxic document change with the term; as telling for either class
+    odds = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5)) - float(
+        np.log(bad / (n - bad)))
+    telling = materialise(
+        counts.where((F.col("n") >= 5) & (F.abs(odds) >= float(np.log(LIFT))))
+        .withColumn("score", score).where(F.col("score") > CHI_SQUARED)
+        .select("term", "score", (odds > 0).alias("leans")), "toxic-terms")
+    best = [telling.where(F.col("leans") == leans).orderBy(F.col("score").desc(), "term")
+            .limit(VOCABULARY).select("term").toPandas()["term"].to_numpy(np.int64)
+            for leans in (True, False)]
+    return np.unique(np.concatenate([[EVERY], *(b.view(np.uint64) for b in best)]))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -162,7 +172,7 @@ class Index:
     idf: np.ndarray
     doc_ids: np.ndarray  # of the examples, in index order
     toxic: np.ndarray
-    share: float  # toxic among all examples, those without known terms too
+    share: float  # toxic among all examples
     starts: np.ndarray  # postings of term t in block b: starts[t * blocks + b] and the next
     examples: np.ndarray  # of each posting
     weights: np.ndarray
@@ -272,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
 
     The driver holds the vocabulary, the known terms of the sampled documents and
     their votes; the index that goes to the tasks is bounded by ``examples`` times
-    ``VOCABULARY``.
+    twice ``VOCABULARY`` and one.
     """
     docs = texts(docs).where("doc_id is not null")
     marked = labels_of(labels, "toxic").where(~held_out()).join(
@@ -337,8 +347,8 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     evidence, the nearest examples with similarity and label, nearest first.
 
     ``docs``: doc_id, text; ``labels``: doc_id, toxic.  The score uses the text
-    only.  A text without a known term, empty or null ones too, has no evidence
-    and scores what such documents showed in calibration.  Without labels of both
+    only.  The nearest of a text without a known term, empty or null ones too, are
+    the examples without one.  Without labels of both
     kinds there is no vocabulary and every score is the share of toxic labels.
     Repeated rows score alike; a null id has no label and is not held out.  Of an
     empty table the result is empty.

@@ -531,6 +531,23 @@ def test_held_out_toxicity(tables):
     assert proof == sorted(proof, key=lambda e: -round(e["similarity"], 9))
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_toxicity_at_every_share_of_labels(spark, share):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = rng.random() < share
+        own = [f"{'bad' if toxic else 'good'}{rng.choice('abcdefghij')}x" for _ in range(3)]
+        rest = [f"w{rng.choice('abcdef')}{rng.choice('abcdef')}" for _ in range(20)]
+        rows.append((i, " ".join(rest + own) if i % 50 else "!", None))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = toxicity.classify_toxicity(docs, labels).cache()
+    assert accuracy(found, labels, "toxic") > 0.95
+    assert all(len(r["evidence"]) == toxicity.NEIGHBOURS for r in found.collect())
+
+
 def test_prior_of_a_known_mixture():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, 4000), rng.normal(-3, 1, 2000)
