@@ -4,7 +4,7 @@ The vocabulary of a byte-pair tokenizer holds what people write often.  Words an
 names come out at several characters a token, keys and passwords at hardly more
 than one.  So a long run of key characters with few characters per token is
 taken for random.  Digests, UUIDs, numbers and identifiers made of words are
-random-looking but no secrets, and are left out.
+random-looking but no secrets, and are left out; a key among them is found by itself.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ INTEGRITY = re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/]+={0,2}")
 HEX_DIGEST = re.compile(r"[0-9A-Fa-f]+")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}")
+PART = re.compile(r"[A-Za-z0-9]+")
+LEAST = 20  # characters of a random span
+SHORT = 3  # characters of a part that tells nothing by itself
 LIMIT = 2.0  # characters a token
 
 
@@ -76,17 +79,58 @@ def is_known(run: str) -> bool:
     return all("".join(n) == p and len(n) <= 1 + len(p) // 5 for n, p in zip(names, parts))
 
 
+def is_name(part: str, encode: tiktoken.Encoding, limit: float) -> bool:
+    """Whether ``part`` is a number, or made of words that the vocabulary holds."""
+    return part.isdigit() or is_known(part) or len(part) > limit * len(encode.encode_ordinary(part))
+
+
+def free(start: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What the ``taken`` spans leave of a run."""
+    left = []
+    for low, high, _ in taken:  # by start
+        if low < end and high > start:
+            left.append((start, low))
+            start = max(start, high)
+    return [(a, b) for a, b in [*left, (start, end)] if b - a >= LEAST]
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], encode: tiktoken.Encoding,
                  limit: float) -> list[tuple[int, int, str]]:
-    """Runs outside the ``taken`` spans that need a token for ``limit`` characters or fewer."""
+    """Runs outside the ``taken`` spans that need a token for ``limit`` characters or fewer.
+
+    Where a run as a whole needs fewer tokens, its parts that are no names are
+    tested, neighbours together.
+    """
+    def is_random(run: str) -> bool:
+        return (len(run) >= LEAST and not is_known(run)
+                and len(run) <= limit * len(encode.encode_ordinary(run)))
+
     found = []
     for match in RUN.finditer(text):
-        start, end = match.span()
-        run = match.group()
-        if is_known(run) or any(start < e and s < end for s, e, _ in taken):
+        if is_known(match.group()):
             continue
-        if len(run) <= limit * len(encode.encode_ordinary(run)):
-            found.append((start, end, "random"))
+        for start, end in free(*match.span(), taken):
+            fixed = [m.span() for form in (UUID, INTEGRITY) for m in form.finditer(text, start, end)]
+            stretches: list[list[tuple[int, int]]] = [[]]
+            named = False
+            for part in PART.finditer(text, start, end):
+                low, high = part.span()
+                if any(a <= low and high <= b for a, b in fixed) or is_name(
+                        part.group(), encode, limit):
+                    named = named or high - low > SHORT
+                    stretches.append([])
+                elif high - low > SHORT or stretches[-1]:
+                    stretches[-1].append((low, high))
+            if not any(high - low > SHORT for s in stretches for low, high in s):
+                continue  # a name
+            if not named and is_random(text[start:end]):
+                found.append((start, end, "random"))
+                continue
+            spans = [(s[0][0], s[-1][1]) for s in stretches if s]
+            some = [(a, b, "random") for a, b in spans if is_random(text[a:b])]
+            if not some and is_random(text[start:end]):
+                some = [(start, end, "random")]
+            found += some
     return found
 
 

@@ -393,6 +393,23 @@ def test_random_runs_and_known_names():
         assert not secret_scan.random_spans(name, [], coder, secret_scan.LIMIT), name
 
 
+def test_keys_joined_to_words():
+    rng = random.Random(13)
+    coder = secret_scan.encoding(RANKS)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    hits = dict.fromkeys(("path", "hex"), 0)
+    for _ in range(200):
+        key = "".join(rng.choice(alphabet) for _ in range(24))
+        for kind, before in (("path", "services/checkout/config/production/"),
+                             ("hex", "0123456789abcdef/")):
+            text = before + key
+            base = secret_scan.base_spans(text)
+            spans = secret_scan.random_spans(text, base, coder, secret_scan.LIMIT)
+            hits[kind] += any(text[a:b].endswith(key) for a, b, _ in spans)
+            assert not any(a < e and s < b for a, b, _ in spans for s, e, _ in base)
+    assert min(hits.values()) >= 195, hits
+
+
 def test_secrets_of_rows(spark, docs, empty):
     found = by_id(secret_scan.find_secrets(docs, RANKS))
     assert len(found) == len(ROWS)
