@@ -35,7 +35,6 @@ UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
 INTEGRITY = re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/]+={0,2}")
 HEX_DIGEST = re.compile(r"[0-9A-Fa-f]+")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
-NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}")
 PART = re.compile(r"[A-Za-z0-9]+")
 LEAST = 20  # characters of a random span
 SHORT = 3  # characters of a part that tells nothing by itself
@@ -71,12 +70,7 @@ def is_known(run: str) -> bool:
         return True
     if HEX_DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS:
         return True
-    parts = [p for p in re.split(r"[+/_=-]+", run) if p]
-    if not any(c.isdigit() for c in run) and all(
-            p.islower() or p.isupper() or p[1:].islower() for p in parts):
-        return True  # words and their joins
-    names = [NAME_PART.findall(p) for p in parts]
-    return all("".join(n) == p and len(n) <= 1 + len(p) // 5 for n, p in zip(names, parts))
+    return False
 
 
 def is_name(part: str, encode: tiktoken.Encoding, limit: float) -> bool:

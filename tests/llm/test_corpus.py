@@ -410,6 +410,16 @@ def test_keys_joined_to_words():
     assert min(hits.values()) >= 195, hits
 
 
+def test_keys_of_letters():
+    rng = random.Random(14)
+    coder = secret_scan.encoding(RANKS)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(32))
+            for _ in range(200)]
+    hits = sum(secret_scan.random_spans(k, [], coder, secret_scan.LIMIT) == [(0, 32, "random")]
+               for k in keys)
+    assert hits >= 195, hits
+
+
 def test_secrets_of_rows(spark, docs, empty):
     found = by_id(secret_scan.find_secrets(docs, RANKS))
     assert len(found) == len(ROWS)
