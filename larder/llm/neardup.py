@@ -324,9 +324,11 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
 def keep_one(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """The rows of ``docs`` without the near-duplicates of a smaller id.
 
-    Of rows with one id only one stays; rows with a null id all stay.
+    Of rows with one id and text only one stays; rows with a null id all stay.
     """
     kept = near_duplicates(docs, per_cent).where("kept and doc_id is not null").select(
         F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(docs["doc_id"].isNull()))
+    one = named.withColumn("_text", F.sha2(named["text"].cast("string"), 256)).dropDuplicates(
+        ["doc_id", "_text"]).drop("_text")
+    return one.unionByName(docs.where(docs["doc_id"].isNull()))

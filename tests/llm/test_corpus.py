@@ -128,6 +128,13 @@ def test_near_duplicates_of_odd_rows(spark, empty):
     assert Counter(r["doc_id"] for r in kept) == Counter({None: 2, 5: 1, 7: 1, 8: 1})
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(5, one, None), (5, other, None), (5, other, None)]
+    kept = neardup.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r["text"] for r in kept) == [one, other]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(300, 200)], "a long, b long")
     found = {r["id"]: r["component"] for r in components(edges, "test").collect()}
