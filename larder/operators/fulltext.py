@@ -1,10 +1,11 @@
 """Full-text index and BM25 search.
 
-The index is bucketed by document key.  A document's score for a query is then
-complete inside one bucket: only the per-bucket top k of each query is shuffled,
-and a term that occurs in every document is spread over all buckets.  Large
-batches of queries read it document by document; small ones read the postings,
-sorted by term in each bucket, and there only the pages that hold their terms.
+The index is a table of posting lists by block of documents: one row per block
+and term with the block's documents that hold it.  A document's score for a query
+is then complete inside one block: only the block's top k of each query is
+shuffled, and a term that occurs in every document is spread over all blocks.  A
+batch of queries meets the lists by a broadcast join on the term, and a task
+scores one block for all queries at once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,32 +25,38 @@ from larder.session import materialise, materialise_bucketed, spread
 K1 = 1.2
 B = 0.75
 
+# A block holds about this many documents, or postings where they are long.
+BLOCK_DOCS = 1_024
+BLOCK_POSTINGS = 1 << 19
 # Query terms are sent to every executor in parts of about this many rows (some
-# 100 bytes each).  A further part reads the index once more, which moves far
-# less than shuffling the scored (query, document) rows would.
+# 100 bytes each).  A further part reads the index once more.
 BROADCAST_ROWS = 500_000
-# (query, document, term) rows of a batch of queries, known exactly from the
-# document counts of its terms.  Beyond this many, a lower bound of every
-# query's k-th score is found first, and documents that cannot reach it are left
-# out (see ``_pruned``).
-SIMPLE_PAIRS = 1_000_000
-# Up to this many distinct terms of a batch are named in the filter itself.  Ten
-# to a list: longer lists reach the Parquet reader as a range only.
+# Scores of (query, document) cells, and postings of queries, held at a time in a task.
+CELLS = 1 << 21
+# Up to this many distinct terms of a batch are named in the filter as well, so
+# that the scan skips the other pages.  Ten to a list: longer lists reach the
+# Parquet reader as a range only.
 NAMED_TERMS = 200
 NAMED_TOGETHER = 10
-# One in this many documents is kept apart to take that lower bound from.
+# One block in this many gives every query a lower bound of its k-th score first.
 SAMPLE_ONE_IN = 16
 
 
 @dataclass(frozen=True)
 class TextIndex:
     docs: DataFrame      # index, doc_len, terms: array<struct<term, tf>>
-    postings: DataFrame  # term, index, tf, doc_len
-    sample: DataFrame    # some of ``docs``
+    blocks: DataFrame    # block, term, entries: array<struct<index, tf, doc_len>>
     term_df: DataFrame   # term, df
     n_docs: int
+    n_blocks: int
     avg_len: float
 
+    @property
+    def postings(self) -> DataFrame:
+        """``term, index, tf, doc_len``."""
+        return self.blocks.select("term", F.explode("entries").alias("entry")).select(
+            "term", "entry.index", "entry.tf", "entry.doc_len")
+
 
 def term_counts(docs: DataFrame, key: str = "index", text: str = "text") -> DataFrame:
     """One row per document: ``index``, ``doc_len`` and its distinct terms.
@@ -68,22 +77,30 @@ def term_counts(docs: DataFrame, key: str = "index", text: str = "text") -> Data
 
 
 def build_index(docs: DataFrame, key: str = "index", text: str = "text",
-                buckets: int | None = None) -> TextIndex:
+                buckets: int | None = None, block_docs: int = BLOCK_DOCS) -> TextIndex:
     """Index one text column.
 
-    ``buckets`` defaults to the shuffle partitions or four per core.
+    ``buckets`` defaults to the shuffle partitions or four per core; blocks follow
+    the size of the table.
     """
     spark = docs.sparkSession
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                              4 * spark.sparkContext.defaultParallelism)
     counted = term_counts(spread(docs.select(key, text), key), key, text)
     stored = materialise_bucketed(counted, "docs", "index", buckets)
-    entries = materialise_bucketed(postings(stored), "postings", "index", buckets, order="term")
-    part = F.pmod(F.xxhash64("index"), F.lit(SAMPLE_ONE_IN)) == 0
-    sample = materialise_bucketed(stored.where(part), "sample", "index", buckets)
-    term_df = materialise(entries.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-df")
-    totals = stored.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("len")).first()
-    return TextIndex(stored, entries, sample, term_df, totals["n"], totals["len"] or 0.0)
+    totals = stored.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("len"),
+                        F.sum(F.size("terms")).alias("entries")).first()
+    n_blocks = max(1, -(-totals["n"] // block_docs), -(-(totals["entries"] or 0) // BLOCK_POSTINGS))
+    # a block has a bounded number of documents, and so has a list
+    lists = (stored.select(F.pmod(F.xxhash64("index"), F.lit(n_blocks)).alias("block"),
+                           "index", "doc_len", F.explode("terms").alias("entry"))
+             .repartition(buckets, "block")
+             .groupBy("block", "entry.term")
+             .agg(F.collect_list(F.struct("index", "entry.tf", "doc_len")).alias("entries")))
+    blocks = materialise_bucketed(lists, "blocks", "block", buckets, order="term", placed=True)
+    term_df = materialise(blocks.groupBy("term").agg(F.sum(F.size("entries")).alias("df")),
+                          "term-df")
+    return TextIndex(stored, blocks, term_df, totals["n"], n_blocks, totals["len"] or 0.0)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -118,64 +135,96 @@ def query_terms(queries: DataFrame, index: TextIndex,
     return numbered.select("number", "query_id"), materialise(weighted, "query-terms")
 
 
-def _of_terms(entries: DataFrame, terms: list[str]) -> DataFrame:
-    """Only the postings of ``terms``, as filters that reach the scan."""
+def _of_terms(blocks: DataFrame, terms: list[str]) -> DataFrame:
+    """Only the lists of ``terms``, as filters that reach the scan."""
     groups = [terms[at:at + NAMED_TOGETHER] for at in range(0, len(terms), NAMED_TOGETHER)]
-    return entries.where(reduce(lambda a, b: a | b, [F.col("term").isin(g) for g in groups]))
+    return blocks.where(reduce(lambda a, b: a | b, [F.col("term").isin(g) for g in groups]))
 
 
-def _scores(index: TextIndex, entries: DataFrame, weights: DataFrame) -> DataFrame:
-    """``number, index, part, matched`` over the documents sharing a term.
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after the other."""
+    first = np.cumsum(sizes) - sizes
+    return np.repeat(starts - first, sizes) + np.arange(sizes.sum())
 
-    ``weights`` holds one part of the query terms.
-    """
-    return (entries.join(F.broadcast(weights), "term")
-            .withColumn("gain", _gain(index))
-            .groupBy("number", "index")
-            .agg(F.sum("gain").alias("part"),
-                 F.count(F.lit(1)).cast("int").alias("matched")))
 
+def _best_of_block(table: pa.Table, k: int, avg_len: float) -> pa.Table:
+    """The block's top ``k`` of every query: ``number, index, score, matched``.
 
-def _gain(index: TextIndex, tf: Column | None = None, weight: Column | None = None) -> Column:
-    tf = F.col("tf") if tf is None else tf
-    weight = F.col("idf") if weight is None else weight
-    scale = K1 * (1.0 - B + B * F.col("doc_len") / index.avg_len)
-    return weight * (tf * (K1 + 1.0) / (tf + scale))
+    ``table`` has a row per term: its list, and the queries that ask for it with
+    weight and floor.  A query is left out if its terms' greatest gains of the block
+    sum up to less than its floor; the others are scored in strips of bounded size.
+    """
+    table = table.combine_chunks()
+    entries, asked = (lists_of(table, name) for name in ("entries", "asked"))
+    ids, doc = np.unique(entries["index"], return_inverse=True)
+    tf = entries["tf"].astype(float)
+    gain = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * entries["doc_len"] / avg_len))
+    start, size = entries["start"][:-1], np.diff(entries["start"])
+    greatest = np.maximum.reduceat(gain, start)
+    order = np.lexsort((np.repeat(np.arange(len(size)), np.diff(asked["start"])), asked["number"]))
+    term = np.repeat(np.arange(len(size)), np.diff(asked["start"]))[order]
+    numbers, first, query = np.unique(
+        asked["number"][order], return_index=True, return_inverse=True)
+    weight, floor = asked["idf"][order], asked["floor"][order][first]
+    able = np.bincount(query, weight * greatest[term]) >= floor
+    cost = np.maximum(np.bincount(query, size[term]), len(ids))
+    strip = np.cumsum(np.where(able, cost, 0)) // CELLS
+    found = []
+    for at in np.unique(strip[able]):
+        own = np.flatnonzero(able & (strip == at))
+        place = np.full(len(numbers), -1)
+        place[own] = np.arange(len(own))
+        mine = place[query] >= 0
+        rows, terms = place[query[mine]], term[mine]
+        pairs = _ranges(start[terms], size[terms])
+        cell = np.repeat(rows * len(ids), size[terms]) + doc[pairs]
+        shape = (len(own), len(ids))
+        score = np.bincount(cell, np.repeat(weight[mine], size[terms]) * gain[pairs],
+                            minlength=shape[0] * shape[1])
+        matched = np.bincount(cell, minlength=len(score)).reshape(shape)
+        score = np.round(score, 6).reshape(shape)
+        least = floor[own]
+        if len(ids) > k:
+            least = np.maximum(least, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k])
+        row, column = np.nonzero((matched > 0) & (score >= least[:, None]))
+        best = np.lexsort((column, -score[row, column], row))
+        row, column = row[best], column[best]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, column = row[kept], column[kept]
+        found.append(pa.table({
+            "number": numbers[own[row]], "index": ids[column], "score": score[row, column],
+            "matched": matched[row, column].astype(np.int32)}))
+    empty = pa.table({"number": numbers[:0], "index": ids[:0], "score": np.zeros(0),
+                      "matched": np.zeros(0, np.int32)})
+    return pa.concat_tables([empty, *found])
+
+
+def lists_of(table: pa.Table, name: str) -> dict[str, np.ndarray]:
+    """Fields of a list of structs of all rows, and where each row's ``start``."""
+    column = table.column(name).combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0)
+    flat = column.flatten()
+    fields = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+    offsets = column.offsets.to_numpy()
+    return {**fields, "start": (offsets - offsets[0]).astype(np.int64)}
+
+
+def _best(index: TextIndex, blocks: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """``number, index, score, matched`` of every block's top ``k``.
+
+    ``weights``: number, term, idf and floor, of one part of the queries.
+    """
+    asked = weights.groupBy("term").agg(
+        F.collect_list(F.struct("number", "idf", "floor")).alias("asked"))
+    key = blocks.schema["entries"].dataType.elementType["index"].dataType.simpleString()
+    avg_len = index.avg_len
 
+    def best(table: pa.Table) -> pa.Table:
+        return _best_of_block(table, k, avg_len)
 
-def _pruned(index: TextIndex, entries: DataFrame, weights: DataFrame, floors: DataFrame
-            ) -> DataFrame:
-    """``number, index, part, matched`` of the documents that may reach their floor.
-
-    A term adds less than its idf times K1 + 1.  A query's weakest terms that
-    together stay under the floor make no candidates (MaxScore, Turtle & Flood
-    1995); those are mostly the frequent ones.  A candidate that could not reach
-    the floor with all of them is dropped, and the others are completed from
-    the document itself, in the same bucket.
-    """
-    most = F.col("idf") * (K1 + 1.0)
-    upto = Window.partitionBy("number").orderBy(most, "term").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    split = materialise(
-        weights.join(floors, "number").withColumn("weak", F.sum(most).over(upto) < F.col("floor")),
-        "query-terms")
-    # as many entries as the query has terms
-    rests = split.groupBy("number", "floor").agg(
-        F.collect_list(F.when(F.col("weak"), F.struct("term", "idf"))).alias("rest"),
-        F.coalesce(F.sum(F.when(F.col("weak"), most)), F.lit(0.0)).alias("more"))
-    near = (_scores(index, entries, split.where("NOT weak").select("number", "term", "idf"))
-            .join(F.broadcast(rests), "number").where(F.col("part") + F.col("more") >= F.col("floor")))
-    whole = index.docs.select("index", "doc_len", "terms").join(near.hint("shuffle_hash"), "index")
-
-    def gain(weak: Column) -> Column:
-        tf = F.get(F.filter("terms", lambda entry: entry["term"] == weak["term"]), F.lit(0))["tf"]
-        return _gain(index, tf, weak["idf"])
-
-    gains = whole.withColumn("gains", F.filter(F.transform("rest", gain), lambda g: g.isNotNull()))
-    return gains.select(
-        "number", "index", "floor",
-        F.aggregate("gains", F.col("part"), lambda total, g: total + g).alias("part"),
-        (F.col("matched") + F.size("gains")).alias("matched")).where(F.col("part") >= F.col("floor"))
+    return (blocks.join(F.broadcast(asked), "term").groupBy("block")
+            .applyInArrow(best, f"number long, index {key}, score double, matched int"))
 
 
 def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id",
@@ -190,42 +239,36 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id",
 
 
 def search(queries: DataFrame, index: TextIndex, k: int = 10, query: str = "query",
-           simple_pairs: int = SIMPLE_PAIRS) -> DataFrame:
+           sample_one_in: int = SAMPLE_ONE_IN) -> DataFrame:
     """BM25 top ``k`` per query: ``query_id, rank, index, score, matched``.
 
-    Documents sharing any term are candidates; ties go to the lower key.
+    Documents sharing any term are candidates; ties go to the lower key.  The k-th
+    best score among some of the blocks is never above the k-th best among all, so
+    where there are many blocks a few are searched first, and the others leave out
+    what lies below that floor.
     """
     names, weights = query_terms(queries, index, query)
-    size = weights.agg(F.count(F.lit(1)).alias("rows"), F.sum("df").alias("pairs")).first()
-    entries = postings(index.docs)
-    if 0 < size["rows"] <= NAMED_TERMS:
-        entries = _of_terms(index.postings, sorted(
+    n_terms = weights.count()
+    blocks = index.blocks
+    if 0 < n_terms <= NAMED_TERMS:
+        blocks = _of_terms(blocks, sorted(
             {row["term"] for row in weights.select("term").collect()}))
-    floored = (size["pairs"] or 0) > simple_pairs
-    parts = max(1, -(-size["rows"] // BROADCAST_ROWS))
+    parts = max(1, -(-n_terms // BROADCAST_ROWS))
     found = []
     for part in range(parts):
         own = weights if parts == 1 else weights.where(
             F.pmod(F.xxhash64("number"), F.lit(parts)) == part)
-        scored = (_pruned(index, entries, own, _floors(index, own, k)) if floored
-                  else _scores(index, entries, own))
-        scored = scored.withColumn("score", F.round("part", 6))
-        found.append(top_k(scored, k, F.desc("score"), F.asc("index"), by="number"))
+        own = own.withColumn("floor", F.lit(0.0))
+        if index.n_blocks >= 2 * sample_one_in:
+            some = _best(index, blocks.where(F.col("block") < index.n_blocks // sample_one_in),
+                         own, k)
+            floors = materialise(
+                top_k(some, k, F.desc("score"), F.asc("index"), by="number")
+                .where(F.col("rank") == k).select("number", F.col("score").alias("kth")), "floors")
+            # a little lower, for sums in another order and the rounding of the score
+            own = own.join(floors, "number", "left").withColumn(
+                "floor", F.greatest(F.coalesce("kth", F.lit(0.0)) - 1e-5, F.lit(0.0)))
+        best = _best(index, blocks, own, k)
+        found.append(top_k(best, k, F.desc("score"), F.asc("index"), by="number"))
     return reduce(DataFrame.unionByName, found).join(names, "number").select(
         "query_id", "rank", "index", "score", "matched")
-
-
-def _floors(index: TextIndex, weights: DataFrame, k: int) -> DataFrame:
-    """``number, floor``: no document scored below it is in the query's top k.
-
-    The k-th best score among some of the documents is never above the k-th
-    best among all; it is 0 where fewer than k of them share a term.
-    """
-    some = _scores(index, postings(index.sample), weights)
-    kth = (top_k(some, k, F.desc("part"), F.asc("index"), by="number")
-           .where(F.col("rank") == k).select("number", F.col("part").alias("kth")))
-    # a little lower, for sums in another order and the rounding of the score
-    return materialise(
-        weights.select("number").distinct().join(kth, "number", "left")
-        .select("number", F.greatest(F.coalesce("kth", F.lit(0.0)) - 1e-5, F.lit(0.0))
-                .alias("floor")), "floors")

@@ -77,16 +77,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def materialise_bucketed(df: DataFrame, label: str, key: str, buckets: int,
-                         order: str | None = None) -> DataFrame:
+                         order: str | None = None, placed: bool = False) -> DataFrame:
     """Write ``df`` hash-bucketed by ``key`` and sorted by ``order`` in each bucket.
 
     Later groupings and joins that include ``key`` need no exchange; filters on
-    ``order`` skip the pages that cannot match.
+    ``order`` skip the pages that cannot match.  ``placed``: ``df`` is already
+    partitioned that way.
     """
     spark = df.sparkSession
     path = work_path(spark, label)
     name = "larder_" + path.rsplit("/", 1)[1].replace("-", "_")
-    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key)
+    writer = (df if placed else df.repartition(buckets, key)).write.format("parquet").bucketBy(buckets, key)
     if order:
         writer = writer.sortBy(order)
     writer.option("path", path).saveAsTable(name)

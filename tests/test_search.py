@@ -52,14 +52,18 @@ def test_index(index):
     assert counts[1][1]["tomato"] == 2
 
 
-@pytest.mark.parametrize("pairs, rows", [
-    (ft.SIMPLE_PAIRS, ft.BROADCAST_ROWS), (0, ft.BROADCAST_ROWS), (0, 3)])
-def test_search_equals_brute_force(spark, index, monkeypatch, pairs, rows):
+@pytest.mark.parametrize("per_block, one_in, rows, cells", [
+    (1024, 16, ft.BROADCAST_ROWS, ft.CELLS), (1, 2, ft.BROADCAST_ROWS, 1), (2, 1, 3, 4)])
+def test_search_equals_brute_force(spark, index, monkeypatch, per_block, one_in, rows, cells):
     monkeypatch.setattr(ft, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(ft, "CELLS", cells)
+    docs = spark.createDataFrame(list(TEXTS.items()), "index long, text string")
+    index = ft.build_index(docs, buckets=4, block_docs=per_block)
+    assert index.n_blocks == -(-6 // per_block)
     asked = {"a": "tomato basil soup soup", "b": "the chicken", "c": "unknown words", "d": "the"}
     queries = spark.createDataFrame(list(asked.items()), "query_id string, query string")
     found = defaultdict(list)
-    for row in ft.search(queries, index, 2, simple_pairs=pairs).orderBy("query_id", "rank").collect():
+    for row in ft.search(queries, index, 2, sample_one_in=one_in).orderBy("query_id", "rank").collect():
         found[row.query_id].append((row["index"], row.score))
     for name, query in asked.items():
         want = brute_force(query, 2)
@@ -73,8 +77,8 @@ def test_search_plan_moves_only_top_rows(spark, index, capsys):
     plan = capsys.readouterr().out
     assert "PushedFilters: [Or(EqualTo" in plan or "PushedFilters: [In(term" in plan
     assert "WindowGroupLimit" in plan and "Bucketed: true" in plan
-    # one exchange for the rank and the broadcast of the query terms
-    assert plan.count("Exchange hashpartitioning") == 1
+    # of the best rows, and of the query terms before their broadcast
+    assert plan.count("Exchange hashpartitioning") == 2
 
 
 def rows(spark, matrix):
