@@ -110,9 +110,42 @@ SELECT doc_id, size, source_size, target,
 FROM epochs
 """
 
+# All documents that share a term with an item, scored in full.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RANKED = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'),
+                            '{TERM}') AS t
+  FROM documents),
+totals AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM docs WHERE len(t) > 0),
+counts AS (
+  SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM docs),
+tfs AS (SELECT r, doc_id, n, term, count(*) AS tf FROM counts GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+asked AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '{TERM}')) AS term
+  FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+weighed AS (
+  SELECT i, item_id, term,
+         floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM asked JOIN dfs USING (term), totals),
+scored AS (
+  SELECT i, item_id, r, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (
+           100 - 50 + ((50 * n * n_docs) // n_terms)))))::BIGINT AS score
+  FROM weighed JOIN tfs USING (term), totals GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank
+  FROM scored WHERE score > 0)
+WHERE rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op3_minhash_neardup": NEAR_DUPLICATES,
     "op4_warc": WARC,
     "op7_substring_dedup": REPEATS,
     "op9_mixing": MIXING,
+    "op13_nra_search": RANKED,
 }

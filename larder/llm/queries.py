@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import (
-    decontaminate, mixing, neardup, quality, rules, secret_scan, substrings, tokenfiles, toxicity,
+    decontaminate, mixing, neardup, nra, quality, rules, secret_scan, substrings, tokenfiles, toxicity,
     warc)
 from larder.llm.tables import read
 from larder.session import work_path
@@ -72,6 +72,11 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
 
 
+def op13_nra_search(spark: SparkSession, folder: str) -> DataFrame:
+    return nra.rank_documents(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secrets, op2_token_planes, op3_minhash_neardup, op4_warc, op5_toxicity, op6_pu_quality,
-    op7_substring_dedup, op8_decontaminate, op9_mixing, op10_quality_rules)}
+    op7_substring_dedup, op8_decontaminate, op9_mixing, op10_quality_rules,
+    op13_nra_search)}
