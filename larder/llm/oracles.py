@@ -142,10 +142,32 @@ SELECT item_id, rank::INT AS rank, doc_id, score FROM (
 WHERE rank <= 50
 """
 
+# All vectors against all, then the least id of each component.
+VECTOR_LINKS = """
+WITH RECURSIVE
+usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id,
+       vec_id = component_id AS kept, 1.0::DOUBLE AS audit_recall
+FROM least LEFT JOIN counted USING (vec_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_minhash_neardup": NEAR_DUPLICATES,
     "op4_warc": WARC,
     "op7_substring_dedup": REPEATS,
     "op9_mixing": MIXING,
+    "op12_vector_graph": VECTOR_LINKS,
     "op13_nra_search": RANKED,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.llm import (
     decontaminate, mixing, neardup, nra, quality, rules, secret_scan, substrings, tokenfiles, toxicity,
-    warc, whitening)
+    vector_graph, warc, whitening)
 from larder.llm.tables import read
 from larder.session import work_path
 
@@ -76,6 +76,10 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(read(spark, folder, "embeddings"))
 
 
+def op12_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_graph.near_vectors(read(spark, folder, "embeddings"))
+
+
 def op13_nra_search(spark: SparkSession, folder: str) -> DataFrame:
     return nra.rank_documents(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -83,4 +87,4 @@ def op13_nra_search(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_secrets, op2_token_planes, op3_minhash_neardup, op4_warc, op5_toxicity, op6_pu_quality,
     op7_substring_dedup, op8_decontaminate, op9_mixing, op10_quality_rules,
-    op11_whitening, op13_nra_search)}
+    op11_whitening, op12_vector_graph, op13_nra_search)}
