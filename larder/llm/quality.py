@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.rules import SHOUT, SYMBOLS, UPPER, line_counts, repeated_words
-from larder.llm.sampling import draw, held_out
+from larder.llm.sampling import draw, held_out, one_text
 from larder.llm.tables import labels_of, map_texts, texts
 from larder.llm.words import SPACE, Words, per_text, per_text_bytes, slices
 from larder.session import materialise
@@ -157,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, good_rows: int = GOOD_ROWS,
         "good", F.lit(False))
     drawn = materialise(good.unionByName(other), "quality-drawn")
     ids = drawn.select("doc_id").distinct()  # good_rows + other_rows at most
-    rows = materialise(feature_rows(docs.join(F.broadcast(ids), "doc_id")), "quality-rows")
+    rows = materialise(feature_rows(one_text(docs.join(F.broadcast(ids), "doc_id"))),
+                       "quality-rows")
     found = rows.join(F.broadcast(drawn), "doc_id").orderBy("doc_id", *NAMES).toPandas()
     parts = [found[found["good"] == is_good][NAMES].to_numpy(float) for is_good in (True, False)]
     return fit(*parts) if all(len(p) >= 20 for p in parts) else None

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.sampling import draw, held_out
+from larder.llm.sampling import draw, held_out, least_shingle, one_text
 from larder.llm.tables import labels_of, map_texts, texts
-from larder.llm.words import BASE, BYTE_CODES, LOWER, Words, mix, rolled, slices, windows
+from larder.llm.words import BASE, BYTE_CODES, LOWER, Words, mix, rolled, slices
 from larder.session import materialise
 
 EXAMPLES = 6_000  # at most, labelled documents in the index
@@ -37,7 +37,7 @@ PREFIXES = (4, 5, 6)  # bytes
 NEIGHBOURS = 15
 LIFT = 2.0  # times the odds of the other documents, at least, for a class among those with a term
 BLOCK = 128
-SHINGLE_BASE = 0x8EBC6AF09C88C6E3
+FIRST_BLOCKS = 6  # of the highest bounds, read before the others are judged
 PRIOR_WEIGHT = 0.5  # of the share of toxic examples, as one more vote
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -78,16 +78,6 @@ def known_counts(words: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, ...]
     return pair // len(vocabulary), pair % len(vocabulary), counts
 
 
-def least_shingle(words: Words) -> np.ndarray:
-    """The least hash of five words in a row of every text, equal for most near copies."""
-    starts = words.window_starts(5)
-    value = windows(words.hashes(lower=True), starts, 5, SHINGLE_BASE)
-    least = np.full(words.texts, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(least, words.text[starts], value)
-    whole = rolled(BYTE_CODES[LOWER[words.data]], words.offsets[:-1], words.offsets[1:], BASE)
-    return np.where(words.counts >= 5, least, whole)
-
-
 def one_of_copies(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one row of most groups of near copies, the least id.
 
@@ -189,30 +179,41 @@ class Index:
         norm = np.sqrt(np.bincount(text, weight ** 2, minlength=n))
         return weight / norm[text]
 
+    def similarities(self, place: np.ndarray, weight: np.ndarray, blocks: np.ndarray
+                     ) -> np.ndarray:
+        """Cosines with all examples, 0 outside ``blocks``."""
+        cell = (place[:, None] * self.blocks + blocks).ravel()
+        start = self.starts[cell]
+        n = self.starts[cell + 1] - start
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.examples[at], np.repeat(np.repeat(weight, len(blocks)), n)
+                           * self.weights[at], minlength=len(self.doc_ids))
+
     def nearest(self, place: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS
                 ) -> tuple[np.ndarray, np.ndarray]:
         """Examples and similarities of the ``k`` nearest that share a term, best first.
 
-        Ties go to the first in index order.
+        The blocks of the highest bounds give a k-th similarity; of the others only
+        those are read whose bound reaches it.  Ties go to the first in index order.
         """
         bounds = weight @ self.greatest[place]
-        best, similar = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            low = similar[k - 1] if len(similar) >= k else 0.0
-            if bounds[block] <= 0 or bounds[block] + 1e-9 < low:
-                break
-            base = block * BLOCK
-            start = self.starts[place * self.blocks + block]
-            n = self.starts[place * self.blocks + block + 1] - start
-            at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            score = np.bincount(self.examples[at] - base,
-                                np.repeat(weight, n) * self.weights[at], minlength=BLOCK)
-            some = np.flatnonzero(score > 0)
-            best = np.concatenate([best, some + base])
-            similar = np.concatenate([similar, score[some]])
-            order = np.lexsort((best, -np.round(similar, 9)))[:k]
-            best, similar = best[order], similar[order]
-        return best, similar
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        similar = self.similarities(place, weight, order[:FIRST_BLOCKS])
+        rest = order[FIRST_BLOCKS:]
+        if len(rest):
+            low = np.partition(similar, len(similar) - k)[len(similar) - k] if (
+                len(similar) >= k) else 0.0
+            rest = rest[bounds[rest] + 1e-9 >= low]
+            if len(rest):
+                similar += self.similarities(place, weight, rest)
+        similar = np.round(similar, 9)
+        some = np.flatnonzero(similar > 0)
+        if len(some) > k:
+            low = np.partition(similar[some], len(some) - k)[len(some) - k]
+            some = some[similar[some] >= low]
+        best = some[np.lexsort((some, -similar[some]))][:k]
+        return best, similar[best]
 
     def vote(self, examples: np.ndarray, similar: np.ndarray) -> float:
         """Share of toxic votes, each 1 / distance; the prior share is one more voter."""
@@ -290,7 +291,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     drawn = draw(marked, examples + calibration, 5, "toxic")
     drawn = materialise(drawn.withColumn("half", F.pmod(F.xxhash64(F.lit(6), F.col("doc_id")),
                                                         F.lit(2))), "toxic-drawn")
-    sample = materialise(one_of_copies(docs.join(F.broadcast(drawn), "doc_id")), "toxic-sample")
+    sample = materialise(one_of_copies(one_text(docs.join(F.broadcast(drawn), "doc_id"))),
+                         "toxic-sample")
     first, second = sample.where("half = 0"), sample.where("half = 1")
     vocabulary = choose_terms(first.select("doc_id", "text"),
                               first.select("doc_id", "toxic").distinct())
@@ -325,17 +327,23 @@ EVIDENCE = "evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 def score_texts(docs: DataFrame, index: Index, more: list[str], evidence: bool = True) -> DataFrame:
     def task(batch: pa.RecordBatch, words: Words) -> pa.RecordBatch:
         votes = np.full(words.texts, index.vote(np.zeros(0, np.int64), np.zeros(0)))
-        proof = [[] for _ in range(words.texts)]
+        counts = np.zeros(words.texts, np.int64)
+        near, alike = [np.zeros(0, np.int64)], [np.zeros(0)]
         for i, examples, similar in index.search(words):
             votes[i] = index.vote(examples, similar)
-            if evidence:
-                proof[i] = [{"doc_id": int(index.doc_ids[e]), "similarity": float(s),
-                             "toxic": int(index.toxic[e])} for e, s in zip(examples, similar)]
+            counts[i] = len(examples)
+            near.append(examples)
+            alike.append(similar)
         columns = {c: batch.column(c) for c in ["doc_id", *more]}
         columns["score"] = pa.array(index.probability(votes))
         if evidence:
-            columns["evidence"] = pa.array(proof, pa.list_(pa.struct(
-                [("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())])))
+            near = np.concatenate(near)
+            columns["evidence"] = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)),
+                pa.StructArray.from_arrays(
+                    [pa.array(index.doc_ids[near]), pa.array(np.concatenate(alike)),
+                     pa.array(index.toxic[near].astype(np.int32))],
+                    ["doc_id", "similarity", "toxic"]))
         return pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, " + "".join(f"{c} int, " for c in more) + "score double"
