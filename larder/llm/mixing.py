@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.tables import texts
+from larder.llm.tables import texts, unused
 from larder.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -128,21 +128,23 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: int = 2, weights=WEIGHTS,
     budget cuts comes with its first words in that epoch, joined by one space
     and with the right n_chars where ``docs`` has that column; the others come
     as they are.  Documents without words are not taken.  Rows alike in id and text
-    come as copies of one of them, as often as all of them are taken.
+    come as copies of one of them, as often as all of them are taken.  All columns are
+    kept, whatever their names.
     """
     columns = docs.columns
+    mark, size, taken, epoch = (unused(docs, c) for c in ("_mark", "_size", "_taken", "_epoch"))
     plan = plan_mix(docs, share, epochs, weights, seed, slot_rows)
-    plan = plan.where("taken > 0").groupBy(F.col("mark").alias("_mark")).agg(
-        F.first("size").alias("_size"), F.sum("taken").alias("_taken"))
-    one_each = docs.withColumn("_mark", row_mark(seed, docs["doc_id"], docs["text"])
-                               ).dropDuplicates(["_mark"])
-    joined = one_each.join(plan, "_mark")
-    epoch = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int")))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_epoch") - 1) * F.col("_size"))
+    plan = plan.where("taken > 0").groupBy(F.col("mark").alias(mark)).agg(
+        F.first("size").alias(size), F.sum("taken").alias(taken))
+    one_each = docs.withColumn(mark, row_mark(seed, docs["doc_id"], docs["text"])
+                               ).dropDuplicates([mark])
+    joined = one_each.join(plan, mark)
+    times = F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int")))
+    words = F.least(F.col(size), F.col(taken) - (F.col(epoch) - 1) * F.col(size))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1),
                                words.cast("int")), " ")
-    out = joined.withColumn("_epoch", epoch).withColumn(
-        "text", F.when(words < F.col("_size"), cut).otherwise(F.col("text")))
+    out = joined.withColumn(epoch, times).withColumn(
+        "text", F.when(words < F.col(size), cut).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.components import components
-from larder.llm.tables import is_empty, map_texts, texts
+from larder.llm.tables import is_empty, map_texts, texts, unused
 from larder.llm.words import Words, mix, rolled, seeds
 from larder.session import materialise
 
@@ -324,11 +324,13 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
 def keep_one(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """The rows of ``docs`` without the near-duplicates of a smaller id.
 
-    Of rows with one id and text only one stays; rows with a null id all stay.
+    Of rows with one id and text only one stays; rows with a null id all stay.  All
+    columns are kept, whatever their names.
     """
+    kept_id, digest = unused(docs, "_kept"), unused(docs, "_text")
     kept = near_duplicates(docs, per_cent).where("kept and doc_id is not null").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
-    one = named.withColumn("_text", F.sha2(named["text"].cast("string"), 256)).dropDuplicates(
-        ["doc_id", "_text"]).drop("_text")
+        F.col("doc_id").alias(kept_id)).distinct()
+    named = docs.join(kept, docs["doc_id"] == F.col(kept_id), "left_semi")
+    one = named.withColumn(digest, F.sha2(named["text"].cast("string"), 256)).dropDuplicates(
+        ["doc_id", digest]).drop(digest)
     return one.unionByName(docs.where(docs["doc_id"].isNull()))

@@ -44,6 +44,14 @@ def read(spark, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
