@@ -11,6 +11,7 @@ from larder.functions.text import (
     image_path, list_to_json, numbered_text, parse_list_text, time_text)
 from larder.operators import assess as judging
 from larder.operators import audit, lookups, reports, rewrite
+from larder.operators.approximate import approximate_knn, build_approximate, recall_at
 from larder.operators.embed import hashed_vectors
 from larder.operators.fulltext import build_index, corpus_stats, search
 from larder.operators.hybrid import hybrid_search
@@ -118,6 +119,21 @@ def knn_dot_top5(spark, sf) -> DataFrame:
     return _knn(spark, sf, "dot")
 
 
+def _approximate(spark, sf) -> DataFrame:
+    vectors, _ = build_vectors(src.vectors(spark, sf), DIM)
+    index = src.keep(spark, sf, "approximate-index", lambda: build_approximate(vectors, "cosine"))
+    return approximate_knn(vectors.withColumnRenamed("index", "query_id"), index, 5)
+
+
+def knn_approximate_top5(spark, sf) -> DataFrame:
+    return _approximate(spark, sf)
+
+
+def knn_approximate_recall(spark, sf) -> DataFrame:
+    """How many of the exact neighbours by cosine the approximate search finds."""
+    return recall_at(_approximate(spark, sf), _knn(spark, sf, "cosine"))
+
+
 def embed_hashed(spark, sf) -> DataFrame:
     vectors = hashed_vectors(src.document_index(spark, sf).docs)
     return vectors.select("index", F.posexplode("vec").alias("bucket", "weight")).select(
@@ -466,7 +482,8 @@ def stream_recommend(spark, sf) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     fts_top10, fts_index_stats, fts_postings, fts_turns_top10, fts_pruned_top10, retrieve_recipes,
     ingest_search_text, ingredients_numbered, list_text_quarantine,
-    knn_l2_top5, knn_cosine_top5, knn_dot_top5, embed_hashed, hybrid_rrf_top5,
+    knn_l2_top5, knn_cosine_top5, knn_dot_top5, knn_approximate_top5,
+    knn_approximate_recall, embed_hashed, hybrid_rrf_top5,
     eval_results, eval_methods, eval_best,
     sample_seeded, prompts_known_item, prompts_negation,
     rewrite_negation, rewrite_spelling, rewrite_gate, rewrite_requests,

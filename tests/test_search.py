@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import vectors as vf
+from larder.operators import approximate as ap
 from larder.operators import fulltext as ft
 from larder.operators import neighbours as nb
 from larder.operators.embed import embed_texts, hashed_vectors
@@ -118,6 +119,55 @@ def test_knn_equals_brute_force(spark, monkeypatch, metric, block_bytes, sample)
     assert len(found) == 300
 
 
+def test_queries_skip_the_ranges_beyond_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(nb, "CELL_ROWS", 500)
+    rng = np.random.default_rng(3)
+    data = (rng.normal(size=(2000, 3)) * rng.uniform(0.1, 20, size=(2000, 1))).astype(np.float32)
+    index = nb.build_vector_index(rows(spark, data), "l2", block_bytes=4 * 3 * 25)
+    queries = rows(spark, data[:100]).withColumnRenamed("index", "query_id")
+    visits = nb.visits_of(queries, index, 5).groupBy("query_id").count().toPandas()["count"]
+    n_blocks = index.blocks.sum()
+    assert n_blocks > 60 and visits.mean() < n_blocks / 3
+    sizes = index.members.groupBy("slot", "block").count().toPandas()["count"]
+    assert len(sizes) == n_blocks and sizes.max() < 3 * 25
+
+
+@pytest.mark.parametrize("metric", nb.METRICS)
+def test_approximate_search_reaches_its_recall(spark, monkeypatch, metric):
+    monkeypatch.setattr(ap, "CELL_ROWS", 100)
+    monkeypatch.setattr(ap, "BLOCK_CODES", 128)  # cells of several blocks, several lanes
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16)) * 2
+    data = (centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16))).astype(np.float32)
+    data[7] = 0
+    vectors = rows(spark, data)
+    index = ap.build_approximate(vectors, metric)
+    queries = rows(spark, data[:300]).withColumnRenamed("index", "query_id")
+    assert len(index.centres) >= 29 and index.probes_for(0.97) < 29
+    exact = nb.knn(queries, vectors, 5, metric)
+    found = ap.approximate_knn(queries, index, 5)
+    scored = ap.recall_at(found, exact).first()
+    assert scored["n_true"] == 5 * (299 if metric == "cosine" else 300)
+    assert scored["recall"] >= 0.9
+    both = found.join(exact, ["query_id", "index"]).select(
+        F.max(F.abs(found["distance"] - exact["distance"]))).first()[0]
+    assert both <= 2e-6
+    whole = ap.approximate_knn(queries, index, 5, probes=30, refine=600)
+    assert ap.recall_at(whole, exact).first()["recall"] == 1.0
+
+
+def test_approximate_search_of_few_vectors(spark):
+    vectors = rows(spark, np.eye(3))
+    queries = vectors.withColumnRenamed("index", "query_id")
+    for given, n in ((vectors, 9), (vectors.where("index = 1"), 3), (vectors.where("false"), 0)):
+        assert ap.approximate_knn(queries, ap.build_approximate(given), 5).count() == n
+
+
+def test_zero_vectors_are_named(spark):
+    queries = rows(spark, [[0, 0], [1, 0]]).withColumnRenamed("index", "query_id")
+    assert [r["query_id"] for r in nb.no_direction(queries).collect()] == [0]
+
+
 def test_small_corpus_is_not_padded(spark):
     vectors = rows(spark, np.eye(3))
     found = nb.knn(vectors.withColumnRenamed("index", "query_id"), vectors, 5)
