@@ -1,11 +1,12 @@
 """Token ids of texts by a public tokenizer file.
 
 The tokenizer cuts a text into pieces (words with the space before them, digits,
-signs, white space) and encodes each alone.  A text is cut here at its spaces:
+signs, white space) and encodes each alone.  Texts are cut here at their spaces:
 a space begins a piece, and what follows up to the next space is encoded as it
 would be in the text, unless a run of white space reaches over the next cut.
-Such texts, and those with a special token's string, are encoded as a whole.  The
-ids of the parts met first are kept, so the tokenizer itself sees few of the words.
+Such texts, and those with a special token's string, are encoded as a whole.  Of a
+column of texts each distinct part is looked up once, and the ids of the texts are
+gathered from those of the parts; frequent parts are kept for later columns.
 """
 
 from __future__ import annotations
@@ -13,25 +14,35 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from larder.llm.files import kept
 
-# Whose ids a worker keeps, some 200 bytes each.
-KEEP_PARTS = 200_000
-KEEP_PIECES = 350_000
-MARK = "\r"  # between words that are encoded in one go
+# Whose ids a worker keeps, some 200 bytes each; of parts, those that a column of texts
+# has this often.
+KEEP_PARTS = 300_000
+KEEP_FROM = 2
+KEEP_PIECES = 100_000
+MARK = "\r"  # between parts that are encoded in one go
 CROSSING = re.compile(r"\s (?:\s|\Z)")
 # Characters whose class does not depend on the Unicode version.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN = re.compile(f"[ -~\n{_LETTERS}]*")
+SOLID = re.compile(f"[!-~{_LETTERS}]+")  # without white space
 # Fixed value: the pattern of the byte-level vocabulary, on plain characters.
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+"
                     rf"| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-WORD = re.compile(f" [{_LETTERS}]+")
 ID_TYPE = np.dtype("<u4")
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after the other."""
+    first = np.cumsum(sizes) - sizes
+    return np.repeat(starts - first, sizes) + np.arange(sizes.sum())
+
+
 class Encoder:
     """Texts to ids, four little-endian bytes each."""
 
@@ -51,58 +62,71 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, ID_TYPE).tobytes() for e in encoded]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters after a space, encoded as one text with marks between."""
-        if self.mark is None or not words:
-            return self.plain(words)
+    def solid(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts after a space, encoded as one text with marks between."""
+        if self.mark is None or not parts:
+            return self.plain([" " + p for p in parts])
         ids = np.array(self.tokenizer.encode_batch_fast(
-            [MARK.join(words)], add_special_tokens=False)[0].ids, ID_TYPE)
+            [" " + f"{MARK} ".join(parts)], add_special_tokens=False)[0].ids, ID_TYPE)
         cuts = np.flatnonzero(ids == self.mark).tolist()
         raw = ids.tobytes()
         return [raw[4 * low:4 * high]
                 for low, high in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts)
-                 if CROSSING.search(t) or any(a in t for a in self.added)]
-        out = dict(zip(whole, self.plain([texts[i] for i in whole])))
-        cut = {i: t.split(" ") for i, t in enumerate(texts) if i not in out}
-        unknown = set().union(*cut.values()).difference(self.parts)
-        ids = self.encode_parts([" " + p for p in unknown] + [p[0] for p in cut.values()])
-        heads = dict(zip(cut, ids[len(unknown):]))
-        fresh = dict(zip(unknown, ids))
-        if len(self.parts) + len(fresh) <= KEEP_PARTS:
-            self.parts.update(fresh)
-            known = self.parts
-        else:
-            known = Fallback(fresh, self.parts)
-        for i, parts in cut.items():
-            out[i] = heads[i] + b"".join(map(known.__getitem__, parts[1:]))
-        return [out[i] for i in range(len(texts))]
+        """The ids of each text."""
+        ids, counts = self.encode_column(pa.array(texts, pa.large_string()))
+        raw, ends = ids.tobytes(), 4 * np.cumsum(counts)
+        return [raw[end - 4 * n:end] for end, n in zip(ends, counts)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` (large strings, no nulls), and how many each has."""
+        whole = np.array([bool(CROSSING.search(t)) or any(a in t for a in self.added)
+                          for t in texts.to_pylist()], bool)
+        lists = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        parts = lists.flatten().dictionary_encode()
+        first = lists.offsets.to_numpy()[:-1]
+        heads = lists.flatten().take(pa.array(first)).to_pylist()
+        often = np.bincount(parts.indices, minlength=len(parts.dictionary)) >= KEEP_FROM
+        table = [*self.after_space(parts.dictionary.to_pylist(), often), *self.encode_parts(heads),
+                 *self.plain(texts.filter(pa.array(whole)).to_pylist())]
+        place = parts.indices.to_numpy().astype(np.int64)
+        place[first] = len(parts.dictionary) + np.arange(len(first))
+        n_places = np.ones(len(texts), np.int64)
+        n_places[~whole] = np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(texts)), n_places)
+        places = np.empty(len(owner), np.int64)
+        places[~whole[owner]] = place
+        places[whole[owner]] = len(table) - whole.sum() + np.arange(whole.sum())
+        sizes = np.array([len(ids) // 4 for ids in table], np.int64)
+        flat = np.frombuffer(b"".join(table), ID_TYPE)
+        ids = flat[ranges((np.cumsum(sizes) - sizes)[places], sizes[places])]
+        return ids, np.bincount(owner, sizes[places], minlength=len(texts)).astype(np.int64)
+
+    def after_space(self, parts: list[str], often: np.ndarray) -> list[bytes]:
+        """Ids of distinct ``parts``, each after a space; those met ``often`` are kept."""
+        unknown = [p for p in parts if p not in self.parts]
+        solid = [p for p in unknown if SOLID.fullmatch(p)]
+        fresh = dict(zip(solid, self.solid(solid)))
+        others = [p for p in unknown if p not in fresh]
+        fresh.update(zip(others, self.encode_parts([" " + p for p in others])))
+        known = self.parts
+        out = [known[p] if p in known else fresh[p] for p in parts]
+        if len(known) < KEEP_PARTS:
+            met = [parts[i] for i in np.flatnonzero(often).tolist()]
+            for p in [p for p in met if p in fresh][:KEEP_PARTS - len(known)]:
+                known[p] = fresh[p]
+        return out
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         pieces = [PIECES.findall(p) if PLAIN.fullmatch(p) else [p] for p in parts]
         unknown = list({q for own in pieces for q in own if q not in self.pieces})
-        words = [q for q in unknown if WORD.fullmatch(q)]
-        others = [q for q in unknown if not WORD.fullmatch(q)]
-        fresh = dict(zip(words, self.words(words))) | dict(zip(others, self.plain(others)))
-        if len(self.pieces) + len(fresh) <= KEEP_PIECES:
-            self.pieces.update(fresh)
-            fresh = self.pieces
-        else:
-            fresh = Fallback(fresh, self.pieces)
-        return [b"".join(map(fresh.__getitem__, own)) for own in pieces]
-
-
-class Fallback(dict):
-    """A dict that looks missing keys up in another."""
-
-    def __init__(self, own: dict, rest: dict):
-        super().__init__(own)
-        self.rest = rest
-
-    def __missing__(self, key):
-        return self.rest[key]
+        fresh = dict(zip(unknown, self.plain(unknown)))
+        known = self.pieces
+        out = [b"".join(known[q] if q in known else fresh[q] for q in own) for own in pieces]
+        for q in unknown[:max(0, KEEP_PIECES - len(known))]:
+            known[q] = fresh[q]
+        return out
 
 
 def encoder(path: str) -> Encoder:

@@ -34,7 +34,7 @@ from larder.session import materialise, work_path
 MAGIC = b"LARDPLN1"
 BLOCK = 1 << 16
 END_ID = 0
-ENCODED_BYTES = 1 << 19  # of text, encoded in one go
+ENCODED_BYTES = 8 << 20  # of text, encoded in one go
 HEAD = np.dtype([(k, "<i8") for k in ("bits", "block", "blocks", "planes", "docs", "ids")])
 LEVEL = 1
 
@@ -172,17 +172,28 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, bits: bool = Fals
         shard = TaskContext.get().partitionId()
         encode = encoder(tokenizer)
         path, stream = create(folder, f"shard-{shard:06d}", ".planes")
-        writer, ids, counts = PlaneWriter(stream, bits, block), [], []
-        end = np.array([END_ID], ID_TYPE).tobytes()
+        writer, ids, counts = PlaneWriter(stream, bits, block), [], [np.zeros(0, np.int64)]
+
+        def put(waiting: list[pa.Array]) -> None:
+            texts = pa.concat_arrays(waiting)
+            for low, high, _, _ in slices(texts, ENCODED_BYTES):
+                own, n = encode.encode_column(texts.slice(low, high - low))
+                writer.add(np.insert(own, np.cumsum(n), END_ID).tobytes())
+                counts.append(n + 1)
+
+        waiting, size = [], 0
         for batch in batches:
-            text = batch.column("text").fill_null("")
-            for low, high, _, _ in slices(text, ENCODED_BYTES):
-                for own in encode.encode(text.slice(low, high - low).to_pylist()):
-                    counts.append(len(own) // 4 + 1)
-                    writer.add(own + end)
             ids.append(batch.column("doc_id"))
+            waiting.append(batch.column("text").fill_null("").cast(pa.large_string()))
+            size += waiting[-1].nbytes
+            if size >= ENCODED_BYTES:
+                put(waiting)
+                waiting, size = [], 0
+        if waiting:
+            put(waiting)
         ids = pa.chunked_array(ids, pa.int64()).combine_chunks()
-        writer.close(ids, np.array(counts, np.int64))
+        counts = np.concatenate(counts)
+        writer.close(ids, counts)
         yield pa.RecordBatch.from_pydict({
             "shard": pa.array([shard], pa.int32()), "path": [path],
             "n_docs": pa.array([len(counts)], pa.int64()),
