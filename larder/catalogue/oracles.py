@@ -630,8 +630,24 @@ FROM rewritten JOIN turns USING (query_id) ORDER BY turns.ts DESC, query_id DESC
 SELECT session_id, {TIME.format(ts='min(ts)')} AS first_activity,
        {TIME.format(ts='max(ts)')} AS last_activity, count(*) AS actions
 FROM (SELECT session_id, ts FROM started
-      UNION ALL SELECT session_id, ts FROM clicked WHERE click_type NOT LIKE 'View%')
+      UNION ALL SELECT session_id, ts FROM clicked WHERE click_type NOT LIKE 'View%'
+      UNION ALL SELECT CAST(o_custkey AS VARCHAR), CAST(o_orderdate AS TIMESTAMP) FROM orders)
 GROUP BY session_id"""),
+    "log_key_audit": log(" UNION ALL ".join(f"""
+SELECT '{child}.{key}' AS link, key, count(*) AS child_rows
+FROM (SELECT CAST({column} AS VARCHAR) AS key FROM {table})
+WHERE key IS NOT NULL AND key NOT IN (SELECT {parent}) GROUP BY key"""
+        for child, key, table, column, parent in (
+            ("user_queries", "session_id", "orders", "o_custkey", "session_id FROM started"),
+            ("user_clicks", "session_id", "clicked", "session_id", "session_id FROM started"),
+            ("query_adjustments", "session_id", "conversations", "conv_id",
+             "session_id FROM started"),
+            ("retrieved_recipes", "query_id", "lineitem", "l_orderkey",
+             "CAST(o_orderkey AS VARCHAR) FROM orders"),
+            ("assessed_recipes", "query_id", "labels", "doc_id",
+             "CAST(o_orderkey AS VARCHAR) FROM orders"),
+            ("recommended_recipes", "query_id", "benchmark", "item_id",
+             "CAST(o_orderkey AS VARCHAR) FROM orders")))),
     "orphan_audit": " UNION ALL ".join(f"""
 SELECT '{child}.{key}' AS link, CAST({key} AS VARCHAR) AS key, count(*) AS child_rows
 FROM {child} WHERE {key} NOT IN (SELECT {parent_key} FROM {parent}) GROUP BY {key}"""

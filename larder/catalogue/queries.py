@@ -23,8 +23,9 @@ from larder.plans.ingest import prepare
 from larder.plans.recommend import recommend, retrieve
 from larder.plans.report import performance_report
 from larder.session import materialise
+from larder.sources.eventlog import EventLog
 from larder.streaming import counters
-from larder.streaming.ingest import dedupe, ingest, read_stream, run, write_batch
+from larder.streaming.ingest import deduplicated, ingest, read_stream
 from larder.streaming.recommend import recommend_stream
 from larder.session import work_path
 
@@ -399,13 +400,32 @@ def recent_adjustments(spark, sf) -> DataFrame:
 
 
 def session_activity(spark, sf) -> DataFrame:
-    log = src.log(spark, sf)
-    none = log["user_clicks"].where("false")
-    seen = lookups.session_activity(log["user_sessions"], none, log["user_clicks"])
+    log = session_log(spark, sf)
+    seen = lookups.session_activity(
+        log["user_sessions"], log["user_queries"], log["user_clicks"])
     return seen.select("session_id", time_text(F.col("first_activity")).alias("first_activity"),
                        time_text(F.col("last_activity")).alias("last_activity"), "actions")
 
 
+def session_log(spark, sf) -> dict[str, DataFrame]:
+    """Sessions, queries and clicks of the given tables as tables of the event log."""
+    queries = src.user_queries(spark, sf)
+    return {**src.log(spark, sf), "user_queries": queries}
+
+
+def log_key_audit(spark, sf) -> DataFrame:
+    """The six declared keys of the log, its results taken from other tables."""
+    def keyed(name: str, column: str, key: str) -> DataFrame:
+        return src.table(spark, sf, name).select(F.col(column).cast("string").alias(key))
+
+    tables = {**session_log(spark, sf),
+              "query_adjustments": keyed("conversations", "conv_id", "session_id"),
+              "retrieved_recipes": keyed("lineitem", "l_orderkey", "query_id"),
+              "assessed_recipes": keyed("labels", "doc_id", "query_id"),
+              "recommended_recipes": keyed("benchmark", "item_id", "query_id")}
+    return audit.log_audit(tables.__getitem__)
+
+
 def orphan_audit(spark, sf) -> DataFrame:
     table = lambda name: src.table(spark, sf, name)
     return audit.audit({
@@ -449,16 +469,19 @@ def stream_visits(spark, sf) -> DataFrame:
 
 def stream_dedup(spark, sf) -> DataFrame:
     """Every event delivered twice, kept once."""
-    folder = work_path(spark, "deduped")
     doubled = _event_stream(spark, sf).unionByName(_event_stream(spark, sf))
-    run(dedupe(doubled), lambda batch, number: write_batch(batch, folder, number), "append")
-    return spark.read.parquet(folder).select(
+    return deduplicated(doubled, work_path(spark, "deduped")).select(
         "event_id", time_text(F.col("ts")).alias("ts"), "user_id", "event_type", "props")
 
 
+def _event_log(spark) -> EventLog:
+    path = work_path(spark, "log")
+    return EventLog(spark, "larder_" + path.rsplit("-", 1)[1], path)
+
+
 def stream_log(spark, sf) -> DataFrame:
     """Rows and last time per log table written by the ingest stream."""
-    tables = ingest(src.actions(_event_stream(spark, sf)))
+    tables = ingest(src.actions(_event_stream(spark, sf)), _event_log(spark))
     counted = [df.agg(F.count(F.lit(1)).alias("n"), time_text(F.max("ts")).alias("last_ts"))
                .select(F.lit(name).alias("log_table"), "n", "last_ts")
                for name, df in tables.items()]
@@ -493,7 +516,7 @@ QUERIES = {f.__name__: f for f in (
     top_disliked, report_range, score_hist, score_kde,
     all_feedback, feedback_by_user, feedback_by_recipe, clicks, clicks_by_session, click_counts,
     user_queries, user_queries_by_session, user_queries_by_name, recent_adjustments,
-    session_activity, orphan_audit, missing_images,
+    session_activity, orphan_audit, log_key_audit, missing_images,
     stream_feedback_daily, stream_sessions, stream_visits, stream_dedup, stream_log,
     stream_recommend,
 )}

@@ -13,7 +13,7 @@ from larder.operators.assess import assess, check_assessments, combine, fetch
 from larder.operators.fulltext import TextIndex, search
 from larder.operators.rewrite import gate, rewrite
 from larder.session import materialise
-from larder.sources.eventlog import EventLog
+from larder.sources.eventlog import DIRECT, EventLog
 
 # Shown when a request has no recommendation.
 REJECTED_TEXT = ("Sorry, your query doesn't seem to be a recipe request. "
@@ -73,13 +73,14 @@ def status(requests: DataFrame, rejected: DataFrame, recommended: DataFrame) ->
 
 def answer(requests: DataFrame, index: TextIndex, corpus: DataFrame,
            log: EventLog | None = None, k: int = 10, max_recommendations: int = 3,
-           min_score: int = 5, scorer: Callable[[DataFrame], DataFrame] = assess
-           ) -> tuple[DataFrame, DataFrame, Recommendations]:
+           min_score: int = 5, scorer: Callable[[DataFrame], DataFrame] = assess,
+           commit: str = DIRECT) -> tuple[DataFrame, DataFrame, Recommendations]:
     """Rewrite, gate, recommend and log; ``requests`` has ``query_id, query``.
 
     With a ``log`` it also has ``session_id``.  Adjustments of all requests are
     logged, queries only of those that pass the gate, as rewritten.  ``scorer`` is
-    that of ``recommend``, for example a model by ``call_model``.  Returns the
+    that of ``recommend``, for example a model by ``call_model``; ``commit`` names the
+    batch of a stream for the log.  Returns the
     rewritten requests, their status and the recommendations.
     """
     rewritten = materialise(rewrite(requests, index.term_df), "rewritten")
@@ -90,24 +91,24 @@ def answer(requests: DataFrame, index: TextIndex, corpus: DataFrame,
     recommended = materialise(results.recommended, "recommended")
     results = Recommendations(results.retrieved, results.assessed, recommended, results.rejects)
     if log is not None:
-        write_log(log, requests, rewritten, results, corpus)
+        write_log(log, requests, rewritten, results, corpus, commit)
     shown = rewritten.withColumn("summary", adjustment_summary(
         F.col("adjusted_query"), F.col("adjustments"), F.col("excluded_ingredients")))
     return shown, status(requests, rejected, recommended), results
 
 
 def write_log(log: EventLog, requests: DataFrame, rewritten: DataFrame,
-              results: Recommendations, corpus: DataFrame) -> None:
+              results: Recommendations, corpus: DataFrame, commit: str = DIRECT) -> None:
     sessions = requests.select("query_id", "session_id")
     own = rewritten.join(sessions, "query_id")
-    log.store_adjustments(own)
+    log.store_adjustments(own, commit)
     log.store_queries(own.where("is_recipe_request").select(
-        F.col("query_id").alias("id"), "session_id", F.col("adjusted_query").alias("query")))
+        F.col("query_id").alias("id"), "session_id", F.col("adjusted_query").alias("query")), commit)
     titled = materialise(fetch(results.retrieved, corpus, "title"), "titled").withColumnRenamed(
         "title", "recipe_title")
     titles = titled.select("query_id", "index", "recipe_title")
-    log.store_retrieved(titled)
+    log.store_retrieved(titled, commit)
     log.store_assessed(results.assessed.select(
         "query_id", F.col("title").alias("recipe_title"), "is_relevant",
-        F.col("reason").alias("relevance_reason"), "relevance_score"))
-    log.store_recommended(results.recommended.join(titles, ["query_id", "index"], "left"))
+        F.col("reason").alias("relevance_reason"), "relevance_score"), commit)
+    log.store_recommended(results.recommended.join(titles, ["query_id", "index"], "left"), commit)

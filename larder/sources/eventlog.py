@@ -1,4 +1,4 @@
-"""The append-only event log: nine Parquet tables partitioned by day."""
+"""The append-only event log: nine Parquet tables partitioned by commit and day."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from larder.schemas import EVENT_LOG
 from larder.session import materialise
 
 DAY = "log_date"
+COMMIT = "commit_id"
+DIRECT = "direct"  # rows that no batch of a stream wrote
 
 
 class EventLog:
@@ -28,7 +30,8 @@ class EventLog:
         for table, schema in EVENT_LOG.items():
             columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(table)} "
-                           f"({columns}, {DAY} date) USING parquet PARTITIONED BY ({DAY})")
+                           f"({columns}, {COMMIT} string, {DAY} date) USING parquet "
+                           f"PARTITIONED BY ({COMMIT}, {DAY})")
 
     def reset(self) -> None:
         """Drop all tables and create them empty."""
@@ -40,32 +43,47 @@ class EventLog:
         return sorted(t.name for t in self.spark.catalog.listTables(self.database))
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.table(self._name(table)).drop(DAY)
+        return self.spark.table(self._name(table)).drop(DAY, COMMIT)
 
-    def append(self, table: str, rows: DataFrame) -> DataFrame:
-        """Append a batch and return it with its keys and times."""
+    def append(self, table: str, rows: DataFrame, commit: str = DIRECT) -> DataFrame:
+        """Append a batch and return it with its keys and times.
+
+        Rows of a named ``commit`` take the place of those that it wrote before, so a
+        batch of a stream may be written any number of times.
+        """
         stamped = materialise(stamp(table, rows), "stamped")
-        (stamped.withColumn(DAY, F.to_date("ts"))
+        if commit != DIRECT:
+            self._take_back(table, commit)
+        (stamped.withColumn(COMMIT, F.lit(commit)).withColumn(DAY, F.to_date("ts"))
          .write.insertInto(self._name(table)))
         return stamped
 
+    def _take_back(self, table: str, commit: str) -> None:
+        """Drop what ``commit`` has written: its partitions, one per day."""
+        written = self.spark.sql(f"SHOW PARTITIONS {self._name(table)} "
+                                 f"PARTITION ({COMMIT} = '{commit}')").collect()
+        for row in written:
+            day = row["partition"].split(f"{DAY}=")[1]
+            self.spark.sql(f"ALTER TABLE {self._name(table)} DROP IF EXISTS PARTITION "
+                           f"({COMMIT} = '{commit}', {DAY} = DATE '{day}')")
+
     def create_sessions(self, users: DataFrame) -> DataFrame:
         """``username`` -> ``session_id``; live sessions get a random id."""
         if "session_id" not in users.columns:
             users = materialise(users.withColumn("session_id", F.expr("uuid()")), "sessions")
         return self.append("user_sessions", users)
 
-    def store_queries(self, queries: DataFrame) -> DataFrame:
-        return self.append("user_queries", queries)
+    def store_queries(self, queries: DataFrame, commit: str = DIRECT) -> DataFrame:
+        return self.append("user_queries", queries, commit)
 
-    def store_retrieved(self, rows: DataFrame) -> DataFrame:
-        return self.append("retrieved_recipes", rows)
+    def store_retrieved(self, rows: DataFrame, commit: str = DIRECT) -> DataFrame:
+        return self.append("retrieved_recipes", rows, commit)
 
-    def store_assessed(self, rows: DataFrame) -> DataFrame:
-        return self.append("assessed_recipes", rows)
+    def store_assessed(self, rows: DataFrame, commit: str = DIRECT) -> DataFrame:
+        return self.append("assessed_recipes", rows, commit)
 
-    def store_recommended(self, rows: DataFrame) -> DataFrame:
-        return self.append("recommended_recipes", rows)
+    def store_recommended(self, rows: DataFrame, commit: str = DIRECT) -> DataFrame:
+        return self.append("recommended_recipes", rows, commit)
 
     def store_clicks(self, rows: DataFrame) -> DataFrame:
         return self.append("user_clicks", rows)
@@ -73,8 +91,8 @@ class EventLog:
     def save_feedback(self, rows: DataFrame) -> DataFrame:
         return self.append("user_feedback", rows)
 
-    def store_adjustments(self, rows: DataFrame) -> DataFrame:
-        return self.append("query_adjustments", rows)
+    def store_adjustments(self, rows: DataFrame, commit: str = DIRECT) -> DataFrame:
+        return self.append("query_adjustments", rows, commit)
 
     def store_bad_images(self, rows: DataFrame) -> DataFrame:
         return self.append("bad_image_feedback", rows)

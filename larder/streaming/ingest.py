@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.plans.feedback import fan_out
-from larder.schemas import EVENT_LOG
 from larder.session import work_path
-from larder.sources.eventlog import stamp
+from larder.sources.eventlog import EventLog
+from larder.streaming.sink import read_batches, take_new
 
 LATENESS = "10 minutes"
 
@@ -32,12 +32,6 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType,
     return stream.parquet(folder)
 
 
-def dedupe(events: DataFrame, key: str = "event_id", lateness: str = LATENESS) -> DataFrame:
-    """Each event once; rows older than the watermark are dropped."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
-
-
 def run(stream: DataFrame, write, mode: str, checkpoint: str | None = None,
         trigger: dict | None = None) -> None:
     """Work off the stream; ``write`` gets each batch and its number.
@@ -53,45 +47,45 @@ def run(stream: DataFrame, write, mode: str, checkpoint: str | None = None,
     query.awaitTermination()
 
 
-def write_batch(batch: DataFrame, folder: str, number: int) -> None:
-    """A batch that runs again replaces what it wrote before."""
-    batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-
-def read_batches(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """What ``write_batch`` has written, with the number in ``batch``; empty if nothing came."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    numbered = T.StructType([*schema, T.StructField("batch", T.LongType())])
-    if not system.exists(where):
-        return spark.createDataFrame([], numbered)
-    return spark.read.schema(numbered).parquet(folder)
+def deduplicated(events: DataFrame, folder: str, key: str = "event_id",
+                 lateness: str = LATENESS, checkpoint: str | None = None,
+                 trigger: dict | None = None) -> DataFrame:
+    """Work off the stream and read each event once, however late it came."""
+    spark = events.sparkSession
+    run(events, lambda batch, number: take_new(batch, folder, number, key, lateness), "append",
+        checkpoint, trigger)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).schema
+    return read_batches(spark, f"{folder}/seen", timed).drop("batch")
 
 
-def ingest(actions: DataFrame, folder: str | None = None, checkpoint: str | None = None,
-           trigger: dict | None = None) -> dict[str, DataFrame]:
-    """Route deduplicated actions to log tables below ``folder``.
+def ingest(actions: DataFrame, log: EventLog, folder: str | None = None,
+           checkpoint: str | None = None, trigger: dict | None = None,
+           name: str = "ingest") -> dict[str, DataFrame]:
+    """Route actions, each event once, to the tables of ``log``.
 
-    A session's logins may come in several batches; its start is its first
-    login, as in a batch.
+    ``folder`` keeps what was seen; give it and the ``checkpoint`` again to go on.  A
+    batch is written under the commit ``name-number``, so a batch that runs again
+    replaces its rows.  Returns the tables; a session's logins may come in several
+    batches, and its start is its first login.
     """
     spark = actions.sparkSession
-    folder = folder or work_path(spark, "log")
+    folder = folder or work_path(spark, "log-events")
+    log.setup()
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            for table, rows in fan_out(batch).items():
-                write_batch(stamp(table, rows), f"{folder}/{table}", number)
-        finally:
-            batch.unpersist()
-
-    run(dedupe(actions), write, "append", checkpoint, trigger)
-    tables = {t: read_batches(spark, f"{folder}/{t}", EVENT_LOG[t]).drop("batch")
-              for t in ("user_sessions", "user_feedback", "user_clicks", "bad_image_feedback")}
-    starts = tables["user_sessions"]
-    others = [c for c in starts.columns if c != "session_id"]
-    tables["user_sessions"] = starts.groupBy("session_id").agg(
+        new = take_new(batch, folder, number, "event_id", LATENESS)
+        for table, rows in fan_out(new).items():
+            log.append(table, rows, commit=f"{name}-{number}")
+
+    run(actions, write, "append", checkpoint, trigger)
+    tables = {t: log.read(t) for t in
+              ("user_sessions", "user_feedback", "user_clicks", "bad_image_feedback")}
+    return {**tables, "user_sessions": first_logins(tables["user_sessions"])}
+
+
+def first_logins(sessions: DataFrame) -> DataFrame:
+    """The first row of every session."""
+    others = [c for c in sessions.columns if c != "session_id"]
+    return sessions.groupBy("session_id").agg(
         F.min_by(F.struct(*others), "ts").alias("first")).select(
-        *(F.col(c) if c == "session_id" else F.col(f"first.{c}") for c in starts.columns))
-    return tables
+        *(F.col(c) if c == "session_id" else F.col(f"first.{c}") for c in sessions.columns))

@@ -9,14 +9,19 @@ from pyspark.sql import types as T
 from larder.operators.fulltext import TextIndex
 from larder.plans.recommend import answer
 from larder.session import work_path
-from larder.streaming.ingest import read_batches, run, write_batch
+from larder.streaming.ingest import run
+from larder.streaming.sink import read_batches, write_batch
 
 
 def recommend_stream(requests: DataFrame, index: TextIndex, corpus: DataFrame,
                      folder: str | None = None, checkpoint: str | None = None,
-                     trigger: dict | None = None, **options) -> tuple[DataFrame, DataFrame]:
+                     trigger: dict | None = None, name: str = "recommend",
+                     **options) -> tuple[DataFrame, DataFrame]:
     """Answer every micro-batch; returns the recommendations and the status.
 
+    With a ``log`` the steps are logged under the commit ``name-number``, once for a
+    batch however often it runs.
+
     The same ``folder`` and ``checkpoint`` go on where an earlier call stopped.
     """
     spark = requests.sparkSession
@@ -28,12 +33,12 @@ def recommend_stream(requests: DataFrame, index: TextIndex, corpus: DataFrame,
     folder = folder or work_path(spark, "answers")
 
     def write(batch: DataFrame, number: int) -> None:
-        _, outcome, results = answer(batch, index, corpus, **options)
-        for name, rows, schema in (("recommended", results.recommended, recommended),
+        _, outcome, results = answer(batch, index, corpus, commit=f"{name}-{number}", **options)
+        for part, rows, schema in (("recommended", results.recommended, recommended),
                                    ("status", outcome, status)):
             write_batch(rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)),
-                        f"{folder}/{name}", number)
+                        f"{folder}/{part}", number)
 
     run(requests, write, "append", checkpoint, trigger)
-    return tuple(read_batches(spark, f"{folder}/{name}", schema).drop("batch")
-                 for name, schema in (("recommended", recommended), ("status", status)))
+    return tuple(read_batches(spark, f"{folder}/{part}", schema).drop("batch")
+                 for part, schema in (("recommended", recommended), ("status", status)))

@@ -16,6 +16,7 @@ from larder.sources import recipes as src
 from larder.sources.eventlog import EventLog
 from larder.streaming import counters
 from larder.streaming import ingest as streams
+from larder.streaming import sink as sinks
 
 FEEDBACK = "username string, recipe_title string, feedback string, ts timestamp"
 
@@ -235,9 +236,13 @@ def actions(spark, path):
     return df, streams.read_stream(spark, f"{path}/in", df.schema)
 
 
+def event_log(spark, tmp_path):
+    return EventLog(spark, "log_" + tmp_path.name.replace("-", "_"), str(tmp_path / "log"))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     batch, stream = actions(spark, tmp_path)
-    written = streams.ingest(stream, str(tmp_path / "log"))
+    written = streams.ingest(stream, event_log(spark, tmp_path))
     for name, rows in fan_out(batch).items():
         ours = written[name].select(*[c for c in rows.columns if c != "id"])
         theirs = rows.select(*ours.columns)
@@ -270,33 +275,77 @@ def several_files(spark, path):
 
 
 def test_streams_over_several_batches(spark, tmp_path):
+    """The late row of the last file is in the log and in the counts, and is named as late."""
     batch, stream = several_files(spark, str(tmp_path / "in"))
-    batch = batch.where("event_id < 9")
-    starts = streams.ingest(stream, str(tmp_path / "log"))["user_sessions"]
-    expected = fan_out(batch)["user_sessions"].select(*starts.columns)
-    assert sorted(map(str, starts.collect())) == sorted(map(str, expected.collect()))
+    written = streams.ingest(stream, event_log(spark, tmp_path))
+    for name, rows in fan_out(batch).items():
+        columns = [c for c in rows.columns if c != "id"]
+        assert sorted(map(str, written[name].select(*columns).collect())) == sorted(
+            map(str, rows.select(*columns).collect()))
     where = {"folder": str(tmp_path / "states"), "checkpoint": str(tmp_path / "checkpoint")}
-    first = {r.session_id: r.n for r in counters.sessions(stream, **where).collect()}
-    batch.where("event_id = 5").withColumn("event_id", F.lit(7).cast("long")).coalesce(1).write.parquet(
-        str(tmp_path / "in"), mode="append")
+    first = {r.session_id: (r.n, str(r.first_ts)[:10])
+             for r in counters.sessions(stream, **where).collect()}
+    assert first == {"s0": (4, "2023-12-01"), "s1": (3, "2024-01-01")}
+    assert [(r.event_id, r.batch) for r in counters.late_events(
+        stream, where["folder"]).collect()] == [(9, 3)]
+    for event_id in (7, 5):  # a new event, and one delivered again after a restart
+        batch.where("event_id = 5").withColumn("event_id", F.lit(event_id).cast("long")).coalesce(
+            1).write.parquet(str(tmp_path / "in"), mode="append")
     again = {r.session_id: r.n for r in counters.sessions(stream, **where).collect()}
-    assert first == {"s0": 3, "s1": 3} and again == {"s0": 3, "s1": 4}
+    assert again == {"s0": 4, "s1": 4}
+
+
+def test_counts_are_compacted(spark, tmp_path):
+    batch, stream = several_files(spark, str(tmp_path / "in"))
+    where = {"folder": str(tmp_path / "states"), "checkpoint": str(tmp_path / "checkpoint"),
+             "compact_every": 1}
+    for n in range(20, 23):
+        daily = {(r.day, r.kind): r.n
+                 for r in counters.daily_counts(stream, F.col("action"), **where).collect()}
+        batch.where("event_id = 5").withColumn("event_id", F.lit(n).cast("long")).coalesce(
+            1).write.parquet(str(tmp_path / "in"), mode="append")
+    assert daily == {("2024-01-01", "login"): 4, ("2024-01-01", "like"): 4,
+                     ("2023-12-01", "like"): 1}
+    assert sinks.numbers_of(spark, f"{where['folder']}/snapshots", "upto") == [4, 5]
+    assert sinks.numbers_of(spark, f"{where['folder']}/parts", "batch") == [5]
+
+
+def test_a_batch_that_runs_again_writes_once(spark, tmp_path):
+    batch, _ = several_files(spark, str(tmp_path / "in"))
+    folder = str(tmp_path / "events")
+    for number in (0, 1, 1, 1):
+        new = sinks.take_new(batch.where(f"event_id <= {2 * number + 1}"), folder, number,
+                             "event_id", "10 minutes")
+        assert sorted(r.event_id for r in new.collect()) == [2 * number, 2 * number + 1]
+    none = batch.withColumn("event_id", F.lit(None).cast("long"))
+    assert sinks.take_new(none, folder, 2, "event_id", "10 minutes").count() == batch.count()
+    log = event_log(spark, tmp_path)
+    log.setup()
+    for _ in range(3):
+        log.append("user_clicks", spark.createDataFrame([("s", "pie"), ("s", "pie")],
+                                                        "session_id string, recipe_title string"),
+                   commit="stream-1")
+        log.store_clicks(spark.createDataFrame([("t", "jam")], "session_id string, "
+                                                              "recipe_title string"))
+    counts = dict(log.read("user_clicks").groupBy("session_id").count().collect())
+    assert counts == {"s": 2, "t": 3}
 
 
 def test_stream_without_rows(spark, tmp_path):
     batch, _ = several_files(spark, str(tmp_path / "in"))
     batch.where("false").write.parquet(str(tmp_path / "none"))
     empty = streams.read_stream(spark, str(tmp_path / "none"), batch.schema)
-    assert streams.ingest(empty, str(tmp_path / "log"))["user_clicks"].count() == 0
+    assert streams.ingest(empty, event_log(spark, tmp_path))["user_clicks"].count() == 0
     assert counters.daily_counts(empty, F.col("action")).count() == 0
     assert counters.visits(empty).columns == ["session_id", "start", "end", "n"]
 
 
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     batch, stream = actions(spark, tmp_path)
-    where = str(tmp_path / "log"), str(tmp_path / "checkpoint")
-    before = streams.ingest(stream, *where)["user_clicks"].count()
-    assert streams.ingest(stream, *where)["user_clicks"].count() == before == 6
+    where = str(tmp_path / "events"), str(tmp_path / "checkpoint")
+    log = event_log(spark, tmp_path)
+    before = streams.ingest(stream, log, *where)["user_clicks"].count()
+    assert streams.ingest(stream, log, *where)["user_clicks"].count() == before == 6
 
 
 class Session:
