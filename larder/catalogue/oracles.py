@@ -143,7 +143,8 @@ PROMPTS = """
 weighed AS (
   SELECT index, term, row_number() OVER (PARTITION BY index ORDER BY
            round(tf * ln((1e0 + n) / (1 + df)), 6) DESC, term) AS place
-  FROM tfs JOIN dfs USING (term) CROSS JOIN stats WHERE length(term) > 2),
+  FROM (SELECT *, max(length(term)) OVER (PARTITION BY index) AS longest FROM tfs)
+  JOIN dfs USING (term) CROSS JOIN stats WHERE length(term) > 2 OR longest <= 2),
 prompts AS (
   SELECT index || '-' || variant AS query_id, index, variant,
          string_agg(term, ' ' ORDER BY hash, term) AS query
@@ -447,6 +448,9 @@ SELECT index, {NUMBERED} AS numbered,
     "knn_l2_top5": vector_search("l2"),
     "knn_cosine_top5": vector_search("cosine"),
     "knn_dot_top5": vector_search("dot"),
+    "knn_approximate_top5": vector_search("cosine"),  # the same where every neighbour is found
+    "knn_approximate_recall": f"""
+SELECT count(*) AS n_true, true AS reached FROM ({vector_search('cosine')})""",
     "embed_hashed": with_([DOCUMENTS, hashed("docs", "index", "text", "vectors")], """
 SELECT index, bucket, round(CAST(weight AS DOUBLE), 5) + 0.0 AS weight FROM vectors_entries"""),
     "hybrid_rrf_top5": with_([
@@ -470,11 +474,16 @@ FROM marked"""),
                                 "SELECT query_id, index, variant, query FROM prompts"),
     "prompts_negation": with_([DOCUMENTS, COUNTS, PROMPTS, """
 frequent AS (
-  SELECT term, df FROM dfs WHERE length(term) > 2 ORDER BY df DESC, term LIMIT 200),
+  SELECT term, row_number() OVER (ORDER BY df DESC, term) AS place
+  FROM dfs WHERE length(term) > 2),
 absent AS (
-  SELECT index, list(f.term ORDER BY f.df DESC, f.term) AS absent
-  FROM docs CROSS JOIN frequent f
-  WHERE NOT EXISTS (SELECT 1 FROM tfs t WHERE t.index = docs.index AND t.term = f.term)
+  SELECT index, list(term ORDER BY place) AS absent FROM (
+    SELECT docs.index, f.term, f.place,
+           row_number() OVER (PARTITION BY docs.index ORDER BY f.place) AS spot
+    FROM docs CROSS JOIN (SELECT * FROM frequent WHERE place <= 200 + (
+      SELECT max(m) FROM (SELECT count(*) AS m FROM tfs GROUP BY index))) f
+    LEFT JOIN tfs t ON t.index = docs.index AND t.term = f.term WHERE t.term IS NULL)
+  WHERE spot <= 200
   GROUP BY index)"""], """
 SELECT query_id, index, variant, query || ' without ' || absent[1 +
          CAST('0x' || substr(md5(query_id), 1, 4) AS INT) % len(absent)] AS query

@@ -209,6 +209,25 @@ def test_judge_prompt(spark):
         "Recipe 2:\nTitle: T2\nIngredients: 1. a\n2. b\nInstructions: Cook")
 
 
+def test_every_document_is_accounted_for(spark):
+    texts = {1: "ab cd", 2: "", 3: "apple pear plum", 4: "apple pear", 5: "apple x", 6: None}
+    index = build_index(spark.createDataFrame(list(texts.items()), "index long, text string"))
+    known = {r["index"]: r.prompts for r in prompts.known_item_prompts(index).collect()}
+    rejects = {r["index"]: r.reason for r in prompts.prompt_rejects(index).collect()}
+    assert set(known) == {1, 3, 4, 5}
+    assert all(set(p.split()) == {"ab", "cd"} for p in known[1])
+    assert all(p == "apple" for p in known[5])
+    assert rejects == {2: "no term", 6: "no term", 3: "no absent term"}
+    for among in (1, 200):
+        named = {r["index"]: r.prompts
+                 for r in prompts.negation_prompts(index, among=among).collect()}
+        assert set(named) == {1, 4, 5}
+        for i, listed in named.items():
+            absent = [t for t in ("apple", "pear", "plum") if t not in texts[i].split()][:among]
+            assert len(listed) == 5
+            assert {p.split(" without ")[1] for p in listed} <= set(absent)
+
+
 def test_prompts(spark, index):
     known = prompts.known_item_prompts(index)
     rows = prompts.valid_prompts(known).collect()
