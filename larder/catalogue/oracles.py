@@ -502,6 +502,14 @@ SELECT query_id, array_to_string(kept, ' ') AS kept,
         DOCUMENTS, COUNTS, TURNS, "queries AS (SELECT query_id, query FROM turns)", SPLIT, LOOK_UP],
         "SELECT term, known, fix FROM look_up"),
     "rewrite_gate": with_([DOCUMENTS, COUNTS, PASSAGES, SPLIT, REWRITE], REWRITTEN.format(more="")),
+    "rewrite_model": with_([RECIPES, COUNTS, REQUESTS, SPLIT, REWRITE], REWRITTEN.format(
+        more=", 'rules' AS answered_by") + """
+WHERE original_query NOT LIKE '% without %'
+UNION ALL
+SELECT query_id, true, split_part(query, ' without ', 1), item, 'Excluded ' || item,
+       'one exclusion', 'model'
+FROM (SELECT *, substr(query, strpos(query, ' without ') + 9) AS item FROM queries)
+WHERE query LIKE '% without %'"""),
     "rewrite_requests": with_([RECIPES, COUNTS, REQUESTS, SPLIT, REWRITE], REWRITTEN.format(more=""",
        'Adjusted query: ' || adjusted_query || chr(10) || chr(10)
        || CASE WHEN len(adjustments) > 0 THEN 'Adjustments made:' || chr(10) ||

@@ -195,11 +195,28 @@ def rewrite_spelling(spark, sf) -> DataFrame:
         "term", "known", "fix")
 
 
-def _rewritten(df: DataFrame) -> DataFrame:
+def _rewritten(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         "query_id", "is_recipe_request", "adjusted_query",
         F.array_join("excluded_ingredients", "|").alias("excluded"),
-        F.array_join("adjustments", "|").alias("adjustments"), "reasoning")
+        F.array_join("adjustments", "|").alias("adjustments"), "reasoning", *more)
+
+
+def rewrite_model(spark, sf) -> DataFrame:
+    """Requests answered by a callable that knows one word of exclusion and rejects the rest."""
+    def call(batch):
+        parts = batch["query"].str.split(" without ", n=1, expand=True).reindex(columns=[0, 1])
+        if parts[1].isna().any():
+            raise ValueError("no exclusion")
+        return batch[["query_id"]].assign(
+            is_recipe_request=True, original_query=batch["query"], adjusted_query=parts[0],
+            excluded_ingredients=[[e] for e in parts[1]],
+            adjustments=[["Excluded " + e] for e in parts[1]], reasoning="one exclusion")
+
+    answered = rewrite.rewrite_by_model(
+        src.requests(spark, sf), call, src.recipe_index(spark, sf).term_df, wait=0.0,
+        store=work_path(spark, "answers"))
+    return _rewritten(answered, "answered_by")
 
 
 def rewrite_gate(spark, sf) -> DataFrame:
@@ -512,7 +529,7 @@ QUERIES = {f.__name__: f for f in (
     knn_approximate_recall, embed_hashed, hybrid_rrf_top5,
     eval_results, eval_methods, eval_best,
     sample_seeded, prompts_known_item, prompts_negation,
-    rewrite_negation, rewrite_spelling, rewrite_gate, rewrite_requests,
+    rewrite_negation, rewrite_spelling, rewrite_model, rewrite_gate, rewrite_requests,
     assess_score, recommend_documents, assess_requests, exclusion_hits, assess_prompt,
     assessment_check, combine_labels, recommend_top3, recommend_status, query_trace,
     feedback_stats, feedback_totals, feedback_bars, bad_images, most_liked, top_liked,

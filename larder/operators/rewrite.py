@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.text import terms_of
+from larder.operators.hooks import with_fallback
 from larder.operators.skew import join_unique
 from larder.session import materialise
 
@@ -153,6 +157,29 @@ def rewrite(queries: DataFrame, term_df: DataFrame, query: str = "query",
                  F.lit(" excluded")).alias("reasoning"))
 
 
+REWRITTEN = ("query_id {key}, is_recipe_request boolean, original_query string, "
+             "adjusted_query string, excluded_ingredients array<string>, "
+             "adjustments array<string>, reasoning string")
+
+
+def rewrite_by_model(queries: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame],
+                     term_df: DataFrame, query: str = "query", **options) -> DataFrame:
+    """``rewrite`` by a model: ``call`` gets ``query_id, query`` and returns the columns of
+    ``rewrite``.  Requests that fail, or come back without a text, are rewritten by rule;
+    ``answered_by`` names which it was.  ``options`` are those of ``call_model``.
+    """
+    asked = queries.select("query_id", F.col(query).alias("query"))
+    schema = REWRITTEN.format(key=asked.schema["query_id"].dataType.simpleString())
+
+    def checked(batch: pd.DataFrame) -> pd.DataFrame:
+        answer = call(batch)
+        if len(answer) != len(batch) or answer["adjusted_query"].isna().any():
+            raise ValueError("not a rewritten request for every request")
+        return answer
+
+    return with_fallback(asked, checked, schema, lambda rest: rewrite(rest, term_df), **options)
+
+
 def gate(rewritten: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests to answer and requests turned away."""
     return (rewritten.where("is_recipe_request"), rewritten.where("NOT is_recipe_request"))

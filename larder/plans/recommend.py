@@ -74,16 +74,18 @@ def status(requests: DataFrame, rejected: DataFrame, recommended: DataFrame) ->
 def answer(requests: DataFrame, index: TextIndex, corpus: DataFrame,
            log: EventLog | None = None, k: int = 10, max_recommendations: int = 3,
            min_score: int = 5, scorer: Callable[[DataFrame], DataFrame] = assess,
-           commit: str = DIRECT) -> tuple[DataFrame, DataFrame, Recommendations]:
+           commit: str = DIRECT,
+           rewriter: Callable[[DataFrame, DataFrame], DataFrame] = rewrite) -> tuple[DataFrame, DataFrame, Recommendations]:
     """Rewrite, gate, recommend and log; ``requests`` has ``query_id, query``.
 
     With a ``log`` it also has ``session_id``.  Adjustments of all requests are
     logged, queries only of those that pass the gate, as rewritten.  ``scorer`` is
     that of ``recommend``, for example a model by ``call_model``; ``commit`` names the
-    batch of a stream for the log.  Returns the
+    batch of a stream for the log; ``rewriter`` gets the requests and the vocabulary,
+    for example a model by ``rewrite_by_model``.  Returns the
     rewritten requests, their status and the recommendations.
     """
-    rewritten = materialise(rewrite(requests, index.term_df), "rewritten")
+    rewritten = materialise(rewriter(requests, index.term_df), "rewritten")
     valid, rejected = gate(rewritten)
     asked = valid.select("query_id", F.col("adjusted_query").alias("query"),
                          "excluded_ingredients")

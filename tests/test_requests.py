@@ -276,3 +276,39 @@ def test_model_hook(spark, tmp_path):
     good, bad = hooks.split_failures(
         hooks.call_model(df, picky, "query_id long, score int", parallel=1, wait=0.0))
     assert good.count() == 9 and [r.query_id for r in bad.collect()] == [3]
+
+
+def test_answers_are_kept(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def call(batch):
+        asked.add(len(batch))
+        if (batch["query_id"] == 3).any():
+            raise RuntimeError("not this one")
+        return batch[["query_id"]].assign(score=(batch["query_id"] * 2).astype("int32"))
+
+    df = spark.range(40).withColumnRenamed("id", "query_id")
+    seen = []
+    for n in range(3):
+        answers = hooks.call_model(df, call, "query_id long, score int", parallel=3, rows=4,
+                                   window=2, wait=0.0, store=str(tmp_path / "answers")).collect()
+        assert {r.query_id: r.score for r in answers if r.error is None} == {
+            i: 2 * i for i in range(40) if i != 3}
+        seen.append(asked.value)
+    # the second run asks anew only for the part that failed, and its failing row
+    assert seen[0] >= 40 and 0 < seen[1] - seen[0] <= 4 + 3 and seen[2] - seen[1] <= 4 + 3
+
+
+def test_rows_that_a_model_fails_are_rewritten_by_rule(spark, index):
+    def call(batch):
+        if batch["query"].str.contains("soup").any():
+            raise RuntimeError("no soup")
+        return batch[["query_id"]].assign(
+            is_recipe_request=True, original_query=batch["query"], adjusted_query="by model",
+            excluded_ingredients=[[]] * len(batch), adjustments=[[]] * len(batch), reasoning="")
+
+    df = spark.createDataFrame([(1, "onion soup"), (2, "rice curry")],
+                               "query_id long, query string")
+    found = {r.query_id: (r.adjusted_query, r.answered_by) for r in rewrite.rewrite_by_model(
+        df, call, index.term_df, wait=0.0).collect()}
+    assert found == {1: ("onion soup", "rules"), 2: ("by model", "model")}
