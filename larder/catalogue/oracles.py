@@ -441,6 +441,9 @@ FROM found JOIN docs USING (index)"""),
 SELECT row_number() OVER (ORDER BY index) - 1 AS index, title, text AS text_for_search,
        title || ' ' || cleaned_ingredients || ' ' || instructions AS text_for_embedding,
        3 AS n_ingredients, false AS has_gaps FROM docs"""),
+    "ingest_csv": with_([RECIPES], """
+SELECT title, text || chr(10) || chr(10) || '"Serve",' || chr(10) || 'warm.' AS text_for_search,
+       3 AS n_ingredients FROM docs"""),
     "ingredients_numbered": with_([RECIPES], f"""
 SELECT index, {NUMBERED} AS numbered,
        'data/Food_Images/' || image_name || '.jpg' AS image_path FROM recipes"""),

@@ -19,6 +19,7 @@ from larder.operators.neighbours import build_vectors, knn
 from larder.operators.prompts import known_item_prompts, negation_prompts, prompt_rows
 from larder.operators.sampling import sample_rows
 from larder.operators.skew import join_unique
+from larder.plans.ingest import ingest as ingest_recipes
 from larder.plans.ingest import prepare
 from larder.plans.recommend import recommend, retrieve
 from larder.plans.report import performance_report
@@ -40,6 +41,19 @@ def ingest_search_text(spark, sf) -> DataFrame:
                             F.size("ingredients").alias("n_ingredients"), "has_gaps")
 
 
+def ingest_csv(spark, sf) -> DataFrame:
+    """The recipes by way of an export whose instructions hold line breaks and quotes."""
+    export, corpus = work_path(spark, "export"), work_path(spark, "corpus")
+    raw = src.raw_recipes(spark, sf).select(
+        F.col("title").alias("Title"),
+        F.concat("instructions", F.lit('\n\n"Serve",\nwarm.')).alias("Instructions"),
+        F.col("image_name").alias("Image_Name"),
+        F.col("cleaned_ingredients").alias("Cleaned_Ingredients"))
+    raw.write.option("header", True).option("escape", '"').csv(export)
+    processed, _ = ingest_recipes(spark, export, corpus)
+    return processed.select("title", "text_for_search", F.size("ingredients").alias("n_ingredients"))
+
+
 def ingredients_numbered(spark, sf) -> DataFrame:
     return src.recipes(spark, sf).select(
         "index", numbered_text(F.col("ingredients")).alias("numbered"),
@@ -524,7 +538,7 @@ def stream_recommend(spark, sf) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     fts_top10, fts_index_stats, fts_postings, fts_turns_top10, fts_pruned_top10, retrieve_recipes,
-    ingest_search_text, ingredients_numbered, list_text_quarantine,
+    ingest_search_text, ingest_csv, ingredients_numbered, list_text_quarantine,
     knn_l2_top5, knn_cosine_top5, knn_dot_top5, knn_approximate_top5,
     knn_approximate_recall, embed_hashed, hybrid_rrf_top5,
     eval_results, eval_methods, eval_best,

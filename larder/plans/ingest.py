@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.text import embedding_text, parse_list_text, search_text
+from larder.schemas import RAW_RECIPES
+from larder.sources.quoted_csv import read_quoted_csv
 from larder.sources.recipes import number_rows, read_raw_recipes, write_corpus
 
 
@@ -31,8 +33,12 @@ def prepare(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ingest(spark: SparkSession, raw_path: str, corpus_path: str,
            multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Read, number, compose and write; returns the corpus and the rejects."""
-    raw = number_rows(read_raw_recipes(spark, raw_path, multiline=multiline))
+    """Read, number, compose and write; returns the corpus and the rejects.
+
+    ``multiline``: quoted fields may hold line breaks.
+    """
+    raw = (read_quoted_csv(spark, raw_path, RAW_RECIPES) if multiline
+           else number_rows(read_raw_recipes(spark, raw_path, multiline=False)))
     renamed = raw.select(
         "index", F.col("Title").alias("title"),
         F.col("Cleaned_Ingredients").alias("cleaned_ingredients"),

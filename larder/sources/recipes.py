@@ -14,8 +14,8 @@ def read_raw_recipes(spark: SparkSession, path: str, schema: T.StructType = RAW_
                      multiline: bool = True) -> DataFrame:
     """The raw export; a missing path fails.
 
-    Quoted line breaks need ``multiline``, which keeps a file in one task:
-    deliver a large export as many files, or without line breaks.
+    Quoted line breaks need ``multiline``, which keeps a file in one task;
+    ``read_quoted_csv`` reads them in splits.
     """
     return (spark.read.schema(schema)
             .option("header", True).option("quote", '"').option("escape", '"')

@@ -10,10 +10,11 @@ from larder.plans.feedback import fan_out
 from larder.plans.ingest import ingest
 from larder.plans.recommend import answer
 from larder.plans.report import performance_report
-from larder.schemas import EVENT_LOG
+from larder.schemas import EVENT_LOG, RAW_RECIPES
 from larder.session import CHECKPOINT_SETTING, shared_dir
 from larder.sources import recipes as src
 from larder.sources.eventlog import EventLog
+from larder.sources.quoted_csv import read_quoted_csv
 from larder.streaming import counters
 from larder.streaming import ingest as streams
 from larder.streaming import sink as sinks
@@ -362,3 +363,44 @@ def test_shared_folder():
         shared_dir(Session("yarn", None))
     local = Session("local[2]", None)
     assert shared_dir(local) == shared_dir(local)
+
+
+def test_quoted_line_breaks_are_read_in_splits(spark, tmp_path):
+    import csv
+    import random
+
+    rng = random.Random(4)
+    signs = ["a", "é", ",", '"', "\n", " ", "\r", "x\n\ny", '""', "'"]
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    given = []
+    for n in range(2):
+        with open(folder / f"{n}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="\r\n" if n else "\n")
+            writer.writerow(RAW_RECIPES.fieldNames())
+            for i in range(300):
+                size = 4000 if i == 50 else 12  # one record over many splits
+                row = [f"t{n}-{i}", *("v" + "".join(rng.choice(signs) for _ in range(size)) + "w"
+                                      for _ in range(3))]
+                writer.writerow(row)
+                given.append(row)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = read_quoted_csv(spark, str(folder), RAW_RECIPES).collect()
+        splits = spark.read.text(str(folder)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert splits > 20
+    assert sorted(r["index"] for r in found) == list(range(600))
+    assert [list(r)[:4] for r in sorted(found, key=lambda r: r["index"])] == given
+    plain = src.read_raw_recipes(spark, str(folder)).count()
+    assert plain == 600
+    with pytest.raises(ValueError, match="header"):
+        read_quoted_csv(spark, str(folder), type(RAW_RECIPES)([*RAW_RECIPES, RAW_RECIPES[0]]))
+
+
+def test_quoted_csv_without_rows(spark, tmp_path):
+    empty = tmp_path / "empty.csv"
+    empty.write_text("Title,Instructions,Image_Name,Cleaned_Ingredients\n\n", encoding="utf-8")
+    assert read_quoted_csv(spark, str(empty), RAW_RECIPES).count() == 0
