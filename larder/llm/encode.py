@@ -12,6 +12,7 @@ gathered from those of the parts; frequent parts are kept for later columns.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,13 @@ from larder.llm.files import kept
 # has this often.
 KEEP_PARTS = 300_000
 KEEP_FROM = 2
-KEEP_PIECES = 100_000
+KEEP_PIECES = 60_000
 MARK = "\r"  # between parts that are encoded in one go
 CROSSING = re.compile(r"\s (?:\s|\Z)")
 # Characters whose class does not depend on the Unicode version.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN = re.compile(f"[ -~\n{_LETTERS}]*")
+DOUBTFUL = f"[^!-~{_LETTERS}] (?:[^!-~{_LETTERS}]|$)"  # matches wherever CROSSING does
 SOLID = re.compile(f"[!-~{_LETTERS}]+")  # without white space
 # Fixed value: the pattern of the byte-level vocabulary, on plain characters.
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+"
@@ -81,8 +83,12 @@ class Encoder:
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` (large strings, no nulls), and how many each has."""
-        whole = np.array([bool(CROSSING.search(t)) or any(a in t for a in self.added)
-                          for t in texts.to_pylist()], bool)
+        whole = np.zeros(len(texts), bool)
+        doubtful = reduce(pc.or_, [pc.match_substring(texts, a) for a in self.added],
+                          pc.match_substring_regex(texts, DOUBTFUL))
+        for i in np.flatnonzero(doubtful.to_numpy(zero_copy_only=False)).tolist():
+            text = texts[i].as_py()
+            whole[i] = bool(CROSSING.search(text)) or any(a in text for a in self.added)
         lists = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
         parts = lists.flatten().dictionary_encode()
         first = lists.offsets.to_numpy()[:-1]

@@ -34,7 +34,7 @@ from larder.session import materialise, work_path
 MAGIC = b"LARDPLN1"
 BLOCK = 1 << 16
 END_ID = 0
-ENCODED_BYTES = 8 << 20  # of text, encoded in one go
+ENCODED_BYTES = 4 << 20  # of text, encoded in one go
 HEAD = np.dtype([(k, "<i8") for k in ("bits", "block", "blocks", "planes", "docs", "ids")])
 LEVEL = 1
 
