@@ -64,15 +64,17 @@ def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
             np.concatenate(distinct) if distinct else value)
 
 
-def probes(bins: int, tries: int = 32) -> np.ndarray:
-    """Where an empty bin looks: at random bins, then at the following ones."""
+def probes(bins: int, tries: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Where an empty bin looks: at random bins, and after those tries at the filled bin
+    that comes first in an order of its own."""
     steps = np.arange(tries * bins, dtype=np.uint64).reshape(tries, bins)
     random = mix(steps + np.uint64(0x1234567)) % np.uint64(bins)
-    rest = (np.arange(bins)[None, :] + np.arange(1, bins)[:, None]) % bins
-    return np.concatenate([random.astype(np.int64), rest])
+    pairs = np.arange(bins * bins, dtype=np.uint64).reshape(bins, bins)
+    order = mix(pairs + np.uint64(0x7654321)).argsort(axis=1).argsort(axis=1)
+    return random.astype(np.int64), order.astype(np.uint16)
 
 
-PROBES = probes(BINS)
+PROBES, ORDERS = probes(BINS)
 ENTRY_CODES = seeds(BINS, 77)
 
 
@@ -86,9 +88,14 @@ def entries(text: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
     for probe in PROBES:
         open_rows = np.flatnonzero((filled == EMPTY).any(axis=1))
         if not len(open_rows):
-            break
+            return filled
         part, offered = filled[open_rows], sketch[open_rows][:, probe]
         filled[open_rows] = np.where((part == EMPTY) & full[open_rows][:, probe], offered, part)
+    row, place = np.nonzero(filled == EMPTY)  # of sets with few filled bins
+    for at in range(0, len(row), 1 << 14):
+        some, bins = row[at:at + (1 << 14)], place[at:at + (1 << 14)]
+        first = np.where(full[some], ORDERS[bins], BINS).argmin(axis=1)
+        filled[some, bins] = sketch[some, first]
     return filled
 
 
