@@ -129,19 +129,15 @@ def at_most(k: int, n: int, p: float) -> float:
     if turned:
         a, b, x = b, a, p
     front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
-    value, c, d = 1.0, 1.0, 0.0
-    for i in range(10_000):
-        m = i // 2
-        if i == 0:
-            step = 1.0
-        elif i % 2 == 0:
-            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 / (1.0 + step * d or 1e-300)
-        c = 1.0 + step / c or 1e-300
-        value *= c * d if i else d
-        if i and abs(c * d - 1) < 1e-14:
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1) or 1e-300)
+    value = d
+    for m in range(1, 10_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + step * d or 1e-300)
+            c = 1.0 + step / c or 1e-300
+            value *= c * d
+        if abs(c * d - 1) < 1e-14:
             break
     return 1.0 - front * value if turned else front * value
 
