@@ -21,7 +21,8 @@ def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_token_planes(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenfiles.write_and_read(read(spark, folder, "documents"), TOKENIZER)
+    return tokenfiles.write_and_read(read(spark, folder, "documents"), TOKENIZER,
+                                     encoded_bytes=8 << 20)
 
 
 def op3_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:

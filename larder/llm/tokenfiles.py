@@ -34,7 +34,7 @@ from larder.session import materialise, work_path
 MAGIC = b"LARDPLN1"
 BLOCK = 1 << 16
 END_ID = 0
-ENCODED_BYTES = 4 << 20  # of text, encoded in one go
+ENCODED_BYTES = 4 << 20  # of text, encoded in one go; more takes less time and more memory
 HEAD = np.dtype([(k, "<i8") for k in ("bits", "block", "blocks", "planes", "docs", "ids")])
 LEVEL = 1
 
@@ -156,7 +156,7 @@ class PlaneReader:
 
 
 def write_planes(docs: DataFrame, folder: str, tokenizer: str, bits: bool = False,
-                 block: int = BLOCK) -> DataFrame:
+                 block: int = BLOCK, encoded_bytes: int = ENCODED_BYTES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into plane files below ``folder``.
 
     Returns the list of files: shard, path, n_docs, n_ids and before (ids in all
@@ -176,7 +176,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, bits: bool = Fals
 
         def put(waiting: list[pa.Array]) -> None:
             texts = pa.concat_arrays(waiting)
-            for low, high, _, _ in slices(texts, ENCODED_BYTES):
+            for low, high, _, _ in slices(texts, encoded_bytes):
                 own, n = encode.encode_column(texts.slice(low, high - low))
                 writer.add(np.insert(own, np.cumsum(n), END_ID).tobytes())
                 counts.append(n + 1)
@@ -186,7 +186,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, bits: bool = Fals
             ids.append(batch.column("doc_id"))
             waiting.append(batch.column("text").fill_null("").cast(pa.large_string()))
             size += waiting[-1].nbytes
-            if size >= ENCODED_BYTES:
+            if size >= encoded_bytes:
                 put(waiting)
                 waiting, size = [], 0
         if waiting:
@@ -250,6 +250,6 @@ def read_planes(files: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, folder: str | None = None,
-                   bits: bool = False) -> DataFrame:
+                   bits: bool = False, encoded_bytes: int = ENCODED_BYTES) -> DataFrame:
     folder = folder or work_path(docs.sparkSession, "planes")
-    return read_planes(write_planes(docs, folder, tokenizer, bits))
+    return read_planes(write_planes(docs, folder, tokenizer, bits, encoded_bytes=encoded_bytes))
