@@ -36,6 +36,7 @@ BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 PER_CENT = 75
 SLACK = 0.15  # below the limit, nearly five standard deviations of a share of 200 entries
+PAIR_ROWS = 250  # to Python at a time, as a row may hold two sets of a long text
 TILE_SETS = 128  # about, on either side of a tile
 TILE_BYTES = 1 << 20  # about, of the sets on either side
 BROADCAST_IDS = 500_000  # at most; beyond, texts are joined by a shuffle
@@ -279,7 +280,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     different texts they are one node of the graph.  An empty table gives an
     empty result.
     """
-    docs = texts(docs)
+    docs = texts(docs, batch_rows=PAIR_ROWS)
     rows = materialise(map_texts(docs, _sets, "doc_id long, n_shingles long, d1 long, d2 long, "
                                  "keys array<bigint>, sketch binary"), "near-sketches")
     named = rows.where("doc_id is not null and n_shingles > 0")

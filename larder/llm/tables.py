@@ -19,13 +19,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[name].cast(kind).alias(name) for name, kind in columns.items()))
 
 
-def texts(docs: DataFrame, *more: str) -> DataFrame:
+def texts(docs: DataFrame, *more: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``doc_id``, the columns ``more`` and ``text``.
 
-    Rows go to Python in batches of at most ``BATCH_ROWS`` from here on: texts and
+    Rows go to Python in batches of at most ``batch_rows`` from here on: texts and
     sets of shingles are long, and a batch is held by both sides.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return pick(docs, doc_id="long", **dict.fromkeys(more, "string"), text="string")
 
 
