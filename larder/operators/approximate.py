@@ -6,6 +6,10 @@ codebooks are fitted on a bounded sample; every vector is encoded.  A query visi
 cells of its nearest centres, where its distances to all codes are sums of table
 look-ups; the best candidates are compared again by their vectors.  How many cells are
 needed for a recall is measured on the sample.
+
+Cells travel in bundles of bounded size, codes beside vectors.  A query is sent once to
+every bundle that has one of its cells, and the bundle hands on its k best after the
+second comparison, so candidates are never rows.
 """
 
 from __future__ import annotations
@@ -18,9 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.fulltext import top_k
 from larder.operators.neighbours import (
-    METRICS, _gaps, _metric_space, _pivots, _rank, _small_table, _stack, _unit, _unpack, in_lanes)
+    METRICS, _bundles, _gaps, _metric_space, _pivots, _rank, _small_table, _stack, _unit, _unpack,
+    in_lanes)
 from larder.session import materialise
 
 CELL_ROWS = 256
@@ -30,6 +34,7 @@ WORDS = 256           # entries of a codebook
 ROUNDS = 8            # of k-means
 BLOCK_CODES = 1 << 18
 TABLE_BYTES = 64 << 20  # of look-up results held at a time in a task
+STRIP_ROWS = 1024       # queries looked up at a time
 REFINE = 32           # candidates compared again, times k
 RECALL = 0.97         # aimed at by ``probes_for``
 AUDIT = 512           # rows of the sample that measure it
@@ -52,13 +57,13 @@ def k_means(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ApproximateIndex:
-    codes: DataFrame          # slot (cell), block, index, code
-    vectors: DataFrame        # index, vec (packed)
+    codes: DataFrame          # bundle, slot (cell), index, code, vec (packed)
     metric: str
     reach: float
     centres: np.ndarray
     books: list[np.ndarray]   # per group of dimensions: entries x dimensions
-    blocks: np.ndarray        # per cell
+    bundled: np.ndarray       # per bundle and cell in it: the bundle
+    cell_of: np.ndarray       # and the cell
     places: np.ndarray        # per sampled neighbour, how many cells come before its own
 
     def probes_for(self, recall: float = RECALL) -> int:
@@ -108,13 +113,18 @@ def build_approximate(vectors: DataFrame, metric: str = "l2", max_cells: int = M
         encode, "slot int, index long, code binary, vec binary"), "codes")
     sizes = {r["slot"]: r["count"] for r in encoded.groupBy("slot").count().collect()}
     blocks = np.array([-(-sizes.get(c, 1) // BLOCK_CODES) for c in range(len(centres))], np.int64)
-    numbers = _small_table(vectors.sparkSession, "slot int, blocks long", range(len(blocks)),
-                           blocks.tolist())
-    codes = encoded.join(numbers, "slot").select(
-        "slot", F.pmod(F.xxhash64("index"), F.col("blocks")).cast("int").alias("block"),
-        "index", "code")
-    return ApproximateIndex(codes, encoded.select("index", "vec"), metric, reach, centres, books,
-                            blocks, places)
+    n = np.array([sizes.get(c, 0) for c in range(len(centres))], np.int64)
+    nothing = np.zeros(len(centres))
+    cell_of, block_of, bundled = _bundles(
+        np.arange(len(centres)), nothing, n, blocks, centres, BLOCK_CODES)
+    spark = vectors.sparkSession
+    numbers = _small_table(spark, "slot int, blocks long", range(len(blocks)), blocks.tolist())
+    places_of = _small_table(spark, "slot int, block int, bundle int", cell_of.tolist(),
+                             block_of.tolist(), bundled.tolist())
+    codes = encoded.join(numbers, "slot").withColumn(
+        "block", F.pmod(F.xxhash64("index"), F.col("blocks")).cast("int")).join(
+        places_of, ["slot", "block"]).select("bundle", "slot", "index", "code", "vec")
+    return ApproximateIndex(codes, metric, reach, centres, books, bundled, cell_of, places)
 
 
 def _distances(ours: np.ndarray, theirs: np.ndarray, metric: str) -> np.ndarray:
@@ -136,76 +146,114 @@ def approximate_knn(queries: DataFrame, index: ApproximateIndex, k: int = 5,
     result is that of ``knn``.
     """
     metric, reach, centres, books = index.metric, index.reach, index.centres, index.books
-    blocks = index.blocks
+    cell_of = index.cell_of
+    queries = queries.where("query_id IS NOT NULL")
     if metric == "cosine":
         queries = queries.where("exists(vec, x -> x <> 0)")
     key = queries.schema["query_id"].dataType.simpleString()
+    result = f"query_id {key}, index long, millionths long"
     probes = min(len(centres), probes or index.probes_for())
     if not len(centres):
-        return _rank(queries.sparkSession.createDataFrame(
-            [], f"query_id {key}, index long, millionths long"), k)
+        return _rank(queries.sparkSession.createDataFrame([], result), k)
+    first = np.flatnonzero(np.diff(index.bundled, prepend=-1))
+
+    def nearest_cells(rows: np.ndarray) -> np.ndarray:
+        """Whether a query visits each cell."""
+        gaps = _gaps(_metric_space(rows, metric, reach, True), centres)
+        seen = np.zeros(gaps.shape, bool)
+        np.put_along_axis(seen, np.argpartition(gaps, probes - 1, axis=1)[:, :probes], True, 1)
+        return seen
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            packed = _stack(batch["vec"])
-            gaps = _gaps(_metric_space(packed.astype(np.float64), metric, reach, True), centres)
-            cell = np.argpartition(gaps, probes - 1, axis=1)[:, :probes].ravel()
-            row = np.repeat(np.arange(len(batch)), probes)
-            copies = blocks[cell]
-            row, cell = np.repeat(row, copies), np.repeat(cell, copies)
-            block = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-            yield pd.DataFrame({
-                "slot": cell.astype(np.int32), "block": block.astype(np.int32),
-                "query_id": batch["query_id"].to_numpy()[row],
-                "vec": np.array([r.tobytes() for r in packed], dtype=object)[row]})
+            for at in range(0, len(batch), STRIP_ROWS):
+                part = batch.iloc[at:at + STRIP_ROWS]
+                packed = _stack(part["vec"])
+                seen = nearest_cells(packed.astype(np.float64))
+                row, bundle = np.nonzero(
+                    np.logical_or.reduceat(seen[:, cell_of], first, axis=1))
+                yield pd.DataFrame({
+                    "bundle": bundle.astype(np.int32),
+                    "query_id": part["query_id"].to_numpy()[row],
+                    "vec": np.array([r.tobytes() for r in packed], dtype=object)[row]})
 
     best = refine * k
 
     def look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": left["query_id"].iloc[:0],
+                             "index": pd.Series(dtype="int64"),
+                             "millionths": pd.Series(dtype="int64")})]
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": left["query_id"].iloc[:0],
-                                 "index": pd.Series(dtype="int64"),
-                                 "about": pd.Series(dtype="float64")})
-        rows = _metric_space(_unpack(left["vec"]), metric, reach, True)
-        rows = _split(rows - centres[left["slot"].iloc[0]])
-        codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
-        ids, asked = right["index"].to_numpy(), left["query_id"].to_numpy()
-        step, out = max(1, TABLE_BYTES // (8 * len(ids))), []
-        for at in range(0, len(asked), step):
-            about = np.zeros((len(asked[at:at + step]), len(ids)))
-            for part, book, code in zip(rows, books, codes.T):
-                about += (_gaps(part[at:at + step], book) ** 2)[:, code]
-            n = min(best, len(ids))
-            column = np.argpartition(about, n - 1, axis=1)[:, :n]
+            return out[0]
+        right = right.sort_values(["slot", "index"], kind="stable")
+        cells, start = np.unique(right["slot"].to_numpy(), return_index=True)
+        end = np.append(start[1:], len(right))
+        codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1).T
+        ids, theirs = right["index"].to_numpy(), _unpack(right["vec"])
+        # rows that repeat a key meet as in a join on the keys
+        alike, same = (_copies(keys) for keys in (left["query_id"].to_numpy(), ids))
+        # of a query at most ``best`` candidates of a cell, and of all its cells
+        strip = max(1, min(STRIP_ROWS, TABLE_BYTES // (48 * best * min(probes, len(cells)))))
+        for at in range(0, len(left), strip):
+            part = left.iloc[at:at + strip]
+            ours, asked = _unpack(part["vec"]), part["query_id"].to_numpy()
+            spaced = _metric_space(ours, metric, reach, True)
+            seen = nearest_cells(ours)[:, cells]
+            found = []
+            for place, (cell, low, high) in enumerate(zip(cells, start, end)):
+                visitors = np.flatnonzero(seen[:, place])
+                step = max(1, TABLE_BYTES // (32 * (high - low)))
+                for of in range(0, len(visitors), step):
+                    some = visitors[of:of + step]
+                    about = np.zeros((len(some), high - low))
+                    for own, book, code in zip(
+                            _split(spaced[some] - centres[cell]), books, codes):
+                        about += (_gaps(own, book) ** 2)[:, code[low:high]]
+                    row, column = _least_of(about, best)
+                    found.append((some[row], low + column, about[row, column]))
+            row, column, about = (np.concatenate(x) for x in zip(*found)) if found else (
+                np.zeros(0, np.int64),) * 3
+            order = np.lexsort((ids[column], about, row))
+            row, column = row[order], column[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < best
+            row, column = row[kept], column[kept]
+            value = np.zeros(len(row))
+            step = max(1, TABLE_BYTES // (32 * ours.shape[1]))
+            for low in range(0, len(row), step):
+                value[low:low + step] = _distances(
+                    ours[row[low:low + step]], theirs[column[low:low + step]], metric)
+            value = np.floor(value * 1e6 + 0.5).astype(np.int64)
+            order = np.lexsort((ids[column], value, row))
+            row, column, value = row[order], column[order], value[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, column, value = row[kept], column[kept], value[kept]
+            n = np.minimum(k, (alike[at + row] * same[column]))
             out.append(pd.DataFrame({
-                "query_id": np.repeat(asked[at:at + step], n), "index": ids[column.ravel()],
-                "about": np.take_along_axis(about, column, axis=1).ravel()}))
+                "query_id": np.repeat(asked[row], n), "index": np.repeat(ids[column], n),
+                "millionths": np.repeat(value, n)}))
         return pd.concat(out)
 
     visits, codes = in_lanes(
         queries.select("query_id", "vec").mapInPandas(
-            visit, f"slot int, block int, query_id {key}, vec binary"),
-        index.codes, queries.count(), BLOCK_CODES // 64)
-    keys = ["slot", "block", "lane"]
-    found = visits.groupBy(*keys).cogroup(codes.groupBy(*keys)).applyInPandas(
-        look_up, f"query_id {key}, index long, about double")
-    candidates = top_k(found, best, F.asc("about"), F.asc("index")).select("query_id", "index")
-    pairs = (candidates.join(index.vectors, "index")
-             .join(queries.select("query_id", F.col("vec").alias("asked")), "query_id"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                ours = _stack(batch["asked"]).astype(np.float64)
-                value = _distances(ours, _unpack(batch["vec"]), metric)
-                yield pd.DataFrame({
-                    "query_id": batch["query_id"], "index": batch["index"],
-                    "millionths": np.floor(value * 1e6 + 0.5).astype(np.int64)})
+            visit, f"bundle int, query_id {key}, vec binary"),
+        index.codes, queries.count(), BLOCK_CODES)
+    keys = ["bundle", "lane"]
+    found = visits.groupBy(*keys).cogroup(codes.groupBy(*keys)).applyInPandas(look_up, result)
+    return _rank(found, k)
+
+
+def _copies(keys: np.ndarray) -> np.ndarray:
+    """How many of ``keys`` equal each."""
+    _, place, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[place]
+
 
-    return _rank(pairs.mapInPandas(
-        compare, f"query_id {key}, index long, millionths long"), k)
+def _least_of(about: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``n`` least entries of every row."""
+    if about.shape[1] <= n:
+        return tuple(x.ravel() for x in np.indices(about.shape))
+    column = np.argpartition(about, n - 1, axis=1)[:, :n]
+    return np.repeat(np.arange(len(about)), n), column.ravel()
 
 
 def recall_at(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -132,6 +132,32 @@ def test_queries_skip_the_ranges_beyond_their_bound(spark, monkeypatch):
     assert len(sizes) == n_blocks and sizes.max() < 3 * 25
 
 
+def test_bundles_bound_what_is_sent(spark, monkeypatch):
+    monkeypatch.setattr(nb, "CELL_ROWS", 20)
+    monkeypatch.setattr(nb, "LANE_ROWS", 64)
+    rng = np.random.default_rng(11)
+    data = np.vstack([rng.normal(size=(1500, 24)), np.zeros((1, 24))]).astype(np.float32)
+    index = nb.build_vector_index(rows(spark, data), "dot", block_bytes=4 * 24 * 400)
+    queries = rows(spark, data).withColumnRenamed("index", "query_id")
+    # a query is sent once per bundle, not once per cell
+    sent = nb.visits_of(queries, index, 5).count()
+    assert len(index.slot_of) > 50 and sent <= 6 * len(data)
+    assert index.members.groupBy("bundle").count().agg(F.max("count")).first()[0] <= 400
+    found = nb.knn(queries, index, 5).where("query_id = 1500").orderBy("rank").collect()
+    assert [r["index"] for r in found] == [0, 1, 2, 3, 4]  # equal ones, over all cells
+
+
+def test_approximate_search_hands_on_only_its_best(spark, capsys):
+    rng = np.random.default_rng(12)
+    data = rng.normal(size=(600, 16)).astype(np.float32)
+    index = ap.build_approximate(rows(spark, data), "l2")
+    queries = rows(spark, data).withColumnRenamed("index", "query_id")
+    ap.approximate_knn(queries, index, 5).explain()
+    plan = capsys.readouterr().out
+    # candidates meet their vectors in the task: no join after the cogroup
+    assert "Join" not in plan[:plan.index("FlatMapCoGroupsInPandas")]
+
+
 @pytest.mark.parametrize("metric", nb.METRICS)
 def test_approximate_search_reaches_its_recall(spark, monkeypatch, metric):
     monkeypatch.setattr(ap, "CELL_ROWS", 100)
@@ -233,6 +259,19 @@ def test_result_does_not_depend_on_partitions(spark):
     assert results[0] == results[1]
 
 
+def test_postings_are_unpacked_behind_their_exchange(spark, tmp_path, capsys):
+    from larder.catalogue import queries
+    (spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string")
+     .write.parquet(str(tmp_path / "documents.parquet")))
+    found = queries.fts_postings(spark, str(tmp_path))
+    got = {(r.term, r["index"]): (r.tf, r.doc_len, r.df) for r in found.collect()}
+    assert got["tomato", 1] == (2, 7, 1) and got["soup", 2] == (1, 2, 2) and len(got) == 19
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Generate explode") == 1
+    assert plan.index("Generate explode") < plan.index("Join")  # read from below
+
+
 def test_join_unique_with_a_hot_key(spark):
     left = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
