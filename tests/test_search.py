@@ -72,6 +72,29 @@ def test_search_equals_brute_force(spark, index, monkeypatch, per_block, one_in,
         assert [s for _, s in found[name]] == pytest.approx([s for _, s in want], abs=1e-6)
 
 
+def test_shared_terms_are_summed_by_a_product(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    n, terms, asking = 200, 12, 60
+    lists = [[{"index": int(i), "tf": int(rng.integers(1, 4)), "doc_len": 10 + int(i) % 7}
+              for i in rng.choice(n, n // (t + 1), replace=False)] for t in range(terms)]
+    asked = [[{"number": q, "idf": 1.0 + t, "floor": 2.0 * (q % 3)}
+              for q in range(asking) if t == q % terms or rng.random() < 0.5] for t in range(terms)]
+    table = pa.table({"entries": lists, "asked": asked})
+    tables, spent = [], []
+    bincount = np.bincount
+    for product in (0, ft.PRODUCT):  # by lists alone, and with the product
+        cells = []
+        monkeypatch.setattr(ft, "PRODUCT", product)
+        monkeypatch.setattr(np, "bincount", lambda x, *a, **b: (
+            cells.append(len(x)) if b.get("minlength") else None, bincount(x, *a, **b))[1])
+        tables.append(ft._best_of_block(table, 5, 12.0).to_pydict())
+        monkeypatch.setattr(np, "bincount", bincount)
+        spent.append(sum(cells))
+    assert tables[0] == tables[1] and len(tables[0]["index"]) > asking
+    assert spent[1] < spent[0] / 4
+
+
 def test_search_plan_moves_only_top_rows(spark, index, capsys):
     queries = spark.createDataFrame([(1, "the soup")], "query_id long, query string")
     ft.search(queries, index, 3).explain()
@@ -264,12 +287,12 @@ def test_postings_are_unpacked_behind_their_exchange(spark, tmp_path, capsys):
     (spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string")
      .write.parquet(str(tmp_path / "documents.parquet")))
     found = queries.fts_postings(spark, str(tmp_path))
-    got = {(r.term, r["index"]): (r.tf, r.doc_len, r.df) for r in found.collect()}
-    assert got["tomato", 1] == (2, 7, 1) and got["soup", 2] == (1, 2, 2) and len(got) == 19
     found.explain()
     plan = capsys.readouterr().out
     assert plan.count("Generate explode") == 1
     assert plan.index("Generate explode") < plan.index("Join")  # read from below
+    got = {(r.term, r["index"]): (r.tf, r.doc_len, r.df) for r in found.collect()}
+    assert got["tomato", 1] == (2, 7, 1) and got["soup", 2] == (1, 2, 2) and len(got) == 19
 
 
 def test_join_unique_with_a_hot_key(spark):
