@@ -316,3 +316,28 @@ def test_task_functions_need_no_installed_package(tmp_path):
             "print(f(np.eye(2), np.eye(2), 'l2', 1, np.ones(2))[1].tolist())" % str(packed))
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert out.stdout.strip() == "[0, 1]", out.stderr
+
+
+def test_nearest_pivots_are_found_in_strips(monkeypatch):
+    made = np.random.default_rng(5)
+    rows, pivots = made.normal(size=(500, 8)).astype(np.float32), made.normal(size=(40, 8))
+    held, gaps = [], nb._gaps
+    monkeypatch.setattr(nb, "PAIR_BYTES", 32 * 48 * 16)  # of 16 rows
+    monkeypatch.setattr(nb, "_gaps", lambda a, b: held.append(len(a)) or gaps(a, b))
+    cell, gap = nb._nearest_pivot(rows, pivots, "l2", 1.0)
+    assert max(held) == 16 and sum(held) == 500
+    apart = np.linalg.norm(rows[:, None] - pivots[None], axis=2)
+    assert (cell == apart.argmin(axis=1)).all() and np.allclose(gap, apart.min(axis=1))
+
+
+def test_hashed_vectors_are_summed_inside_their_rows(spark, index, capsys):
+    hashed_vectors(index.docs).explain()
+    assert "Exchange" not in capsys.readouterr().out
+    found = {r["index"]: r.vec for r in hashed_vectors(index.docs).collect()}
+    # rows with one index, also without any, are one text
+    twice = index.docs.where("index in (1, 2)").withColumn(
+        "index", F.when(F.col("index") == 2, F.lit(None)).otherwise(F.col("index")))
+    both = {r["index"]: r.vec for r in hashed_vectors(
+        index.docs.where("index = 6").unionByName(twice).unionByName(twice)).collect()}
+    assert set(both) == {1, 6, None} and both[6] == found[6]
+    assert np.allclose(both[1], found[1], atol=2e-6) and np.allclose(both[None], found[2], atol=2e-6)
