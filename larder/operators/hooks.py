@@ -57,8 +57,11 @@ def call_model(df: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], sche
     ``schema`` names the columns ``call`` returns and must include ``key``.  The
     rows of a batch that fails are tried one by one; a row that fails
     ``attempts`` times, the waits between them doubling, yields its key with the text
-    of the failure in ``error``.  Answers are kept below the folder ``store``, if
-    given, so that a task that runs again, or a later job, does not ask for them anew.
+    of the failure in ``error``.  A ``call`` that answers only some rows, all in their
+    order, names the others by a text in a column ``error``; those are asked again together,
+    ``attempts`` times in all, so a batch costs no call a row.  Answers are kept below
+    the folder ``store``, if given, so that a task that runs again, or a later job, does
+    not ask for them anew.
     """
     out = T.StructType.fromDDL(schema).add("error", T.StringType())
     names = out.fieldNames()
@@ -69,30 +72,52 @@ def call_model(df: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], sche
             if attempt:
                 time.sleep(wait * 2 ** (attempt - 1))
             try:
-                return call(part).assign(error=None).reindex(columns=names), ""
+                answer = call(part).reindex(columns=names)
+                if answer["error"].isna().all():
+                    return answer.assign(error=None), ""
+                if answer[key].tolist() != part[key].tolist():
+                    raise ValueError("rows are rejected, but not one answer for every request")
+                return answer, ""
             except Exception as failure:  # noqa: BLE001 - reported in the row
                 reason = str(failure) or "failed"
         return None, reason
 
+    def unanswered(part: pd.DataFrame, reason) -> pd.DataFrame:
+        nothing = part[[key]].assign(error=reason).reindex(columns=names)
+        return nothing.astype(object).where(lambda d: d.notna(), None)
+
+    def settled(part: pd.DataFrame, done: pd.DataFrame, times: int) -> list[pd.DataFrame]:
+        """The answers ``done``, the rows they reject asked up to ``times`` times more."""
+        rejected = done["error"].notna().to_numpy()
+        out = [done[~rejected].assign(error=None)]
+        for attempt in range(times):
+            if not rejected.any():
+                return out
+            time.sleep(wait * 2 ** attempt)
+            part, done = part[rejected], done[rejected]
+            again, reason = tried(part, 1)
+            done = done.assign(error=reason) if again is None else again
+            rejected = done["error"].notna().to_numpy()
+            out.append(done[~rejected].assign(error=None))
+        if rejected.any():
+            out.append(unanswered(part[rejected], done["error"][rejected].astype(str).tolist()))
+        return [frame for frame in out if len(frame)]
+
     def answered(part: pd.DataFrame) -> list[pd.DataFrame]:
         kept = Answers(store) if store else None
         done = kept.get(part) if kept else None
         if done is not None:
-            return [done]
+            return settled(part, done, attempts)
         done, _ = tried(part, 1)
-        if done is not None:
-            if kept:
-                kept.put(part, done)
-            return [done]
-        if len(part) > 1:
+        if done is None and len(part) > 1:
             return [one for i in range(len(part)) for one in answered(part.iloc[i:i + 1])]
-        done, reason = tried(part, attempts)
         if done is None:
-            done = part[[key]].assign(error=reason).reindex(columns=names)
-            return [done.astype(object).where(lambda d: d.notna(), None)]
+            done, reason = tried(part, attempts)
+        if done is None:
+            return [unanswered(part, reason)]
         if kept:
             kept.put(part, done)
-        return [done]
+        return settled(part, done, attempts - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(window) as pool:

@@ -165,7 +165,8 @@ REWRITTEN = ("query_id {key}, is_recipe_request boolean, original_query string,
 def rewrite_by_model(queries: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame],
                      term_df: DataFrame, query: str = "query", **options) -> DataFrame:
     """``rewrite`` by a model: ``call`` gets ``query_id, query`` and returns the columns of
-    ``rewrite``.  Requests that fail, or come back without a text, are rewritten by rule;
+    ``rewrite``, and a text in ``error`` for those it rejects.  Requests that fail, or come
+    back without a text, are rewritten by rule;
     ``answered_by`` names which it was.  ``options`` are those of ``call_model``.
     """
     asked = queries.select("query_id", F.col(query).alias("query"))
@@ -173,7 +174,10 @@ def rewrite_by_model(queries: DataFrame, call: Callable[[pd.DataFrame], pd.DataF
 
     def checked(batch: pd.DataFrame) -> pd.DataFrame:
         answer = call(batch)
-        if len(answer) != len(batch) or answer["adjusted_query"].isna().any():
+        blank = answer["adjusted_query"].isna()
+        if "error" in answer:
+            blank &= answer["error"].isna()
+        if len(answer) != len(batch) or blank.any():
             raise ValueError("not a rewritten request for every request")
         return answer
 

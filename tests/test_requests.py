@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,3 +315,48 @@ def test_rows_that_a_model_fails_are_rewritten_by_rule(spark, index):
     found = {r.query_id: (r.adjusted_query, r.answered_by) for r in rewrite.rewrite_by_model(
         df, call, index.term_df, wait=0.0).collect()}
     assert found == {1: ("onion soup", "rules"), 2: ("by model", "model")}
+
+
+@pytest.mark.parametrize("cells", [2, 64, 1 << 21])
+def test_only_terms_that_can_be_among_the_first_are_handed_on(spark, cells):
+    # every word of the first 30 is in all documents, the others in a few or one
+    texts = {i: " ".join([f"common{j}" for j in range(30)] + [f"w{(i * 7 + j) % 61}" for j in range(9)]
+                         + [f"rare{i}x{j}" for j in range(40)] + ["zz"] * 5) for i in range(20)}
+    docs = spark.createDataFrame(list(texts.items()) + [(3, "pear " + texts[3]), (None, "ab cd")],
+                                 "index long, text string")
+    index = build_index(docs)
+    handed = prompts._may_be_top(index.docs, index, 8, cells).groupBy("index").count().collect()
+    if cells > 64:
+        assert max(r["count"] for r in handed) <= 20  # of two rows
+    lists = [(r["index"], {t.term: t.tf for t in r.terms}) for r in index.docs.collect()]
+    df = Counter(t for _, terms in lists for t in terms)
+    for key in [*texts, None]:
+        pairs = [(len(t) < 3, -round(n * math.log((1 + len(lists)) / (1 + df[t])), 6), t)
+                 for i, terms in lists if i == key for t, n in terms.items()]
+        found = prompts.top_terms(index, cells=cells).where(
+            F.col("index").eqNullSafe(F.lit(key))).orderBy("rank").collect()
+        assert [(r.term, r.weight) for r in found] == [(t, -w) for _, w, t in sorted(pairs)[:8]]
+
+
+def test_rows_that_a_model_names_as_rejected_cost_no_calls_of_their_own(spark, index, tmp_path):
+    calls, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def call(batch):
+        calls.add(1)
+        asked.add(len(batch))
+        odd = batch["query_id"] % 2 == 1
+        return batch[["query_id"]].assign(
+            is_recipe_request=True, original_query=batch["query"], adjusted_query=batch["query"],
+            excluded_ingredients=[[]] * len(batch), adjustments=[[]] * len(batch), reasoning="",
+            error=odd.map({True: "odd", False: None}))
+
+    df = spark.range(256).selectExpr("id AS query_id", "'rice curry' AS query")
+    seen = []
+    for n in range(2):
+        found = {r.query_id: r.answered_by for r in rewrite.rewrite_by_model(
+            df, call, index.term_df, wait=0.0, parallel=2, store=str(tmp_path)).collect()}
+        assert found == {i: "rules" if i % 2 else "model" for i in range(256)}
+        seen.append((calls.value, asked.value))
+    assert seen[0][0] <= 2 * 6 and seen[0][1] == 256 + 128
+    # answers are kept, and only those rejected are asked again
+    assert seen[1][1] - seen[0][1] == 2 * 128
