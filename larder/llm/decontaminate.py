@@ -1,8 +1,8 @@
 """Benchmark passages in documents, by latent semantic retrieval.
 
 Texts are TF-IDF vectors of words; the document frequencies are counted over all
-documents.  A randomised SVD of the benchmark items and of a sample of passages,
-computed in tasks that each sum their own products, gives a small space for every
+documents.  A randomised SVD of the benchmark items and of the passages of all
+documents, whose products of terms are summed in tasks, gives a small space for every
 ``PIECES_AT_ONCE`` pieces of items; what it lacks of a piece is added to it.  Only
 words of the pieces have a place in it; the other words of a passage count in its
 length, so that a passage is close to a piece if much of it lies in the piece's
@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.sampling import draw, one_text
 from larder.llm.tables import map_texts, pick, texts, unused
 from larder.llm.words import Words, mix, seeds, slices
 from larder.session import materialise
@@ -39,8 +38,10 @@ EXTRA = 16  # columns of the random start beyond the rank
 ROUNDS = 2
 PART = 256  # terms whose sums travel together
 PULL = 30.0  # of an item's passages on the space; the items must be in it
-FIT_TASKS = 4
-SAMPLE = 2_000  # documents whose passages are in the fit
+FIT_TASKS = 2  # for every core; each hands on its sums
+FIT_DOCUMENTS = 2_000  # as many as all documents weigh together, beside the pull of the items
+SUM_CELLS = 1 << 24  # products of two terms summed in a pass over the documents
+PAIRS = 1 << 21  # held at a time in a task
 STEP = 16  # words in a block; a passage is two
 COSINE = 0.30
 SAME = 0.75  # of an item's words, in order: the item itself
@@ -59,8 +60,8 @@ def bins(words: Words, hashes: np.ndarray | None = None) -> np.ndarray:
     return (mix(hashes) % np.uint64(DIMENSIONS)).astype(np.int32)
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of every dimension over all ``docs``."""
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Inverse document frequency of every dimension over all ``docs``, and their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(DIMENSIONS + 1, np.int64)
         for batch in batches:
@@ -76,7 +77,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         F.sum("n").alias("n")).toPandas()  # DIMENSIONS + 1 rows at most
     found = np.zeros(DIMENSIONS + 1, np.int64)
     found[rows["place"].to_numpy()] = rows["n"].to_numpy()
-    return (np.log((1 + found[-1]) / (1 + found[:-1])) + 1).astype(np.float32)
+    return (np.log((1 + found[-1]) / (1 + found[:-1])) + 1).astype(np.float32), int(found[-1])
 
 
 def passages(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,70 +138,100 @@ def lengths(places: np.ndarray, first: np.ndarray, end: np.ndarray, idf: np.ndar
     return np.sqrt(np.maximum(sums[end] - sums[first], 1e-9))
 
 
-def products(fit: DataFrame, terms: Terms, basis: np.ndarray) -> np.ndarray:
-    """A^T A ``basis`` for the passages A of ``fit`` (text, item); every task sums its own.
-
-    The driver gets one row of ``basis`` for every term of the space.
+def add_products(words: Words, places: np.ndarray, terms: Terms, total: np.ndarray) -> None:
+    """A^T A of the passages A of ``words`` added to ``total``, a row and column per term."""
+    column = terms.column[places]
+    known = np.flatnonzero(column >= 0)
+    text, first, end = passages(words)
+    low = np.searchsorted(known, first)
+    n = np.searchsorted(known, end) - low
+    some = np.flatnonzero(n)
+    low, n = low[some], n[some]
+    length = lengths(places, first[some], end[some], terms.idf)
+    column = column[known]
+    weight, flat = terms.weight[column], total.reshape(-1)
+    strip = np.cumsum(n * n) // PAIRS
+    for at in range(int(strip[-1]) + 1 if len(strip) else 0):
+        part = slice(*np.searchsorted(strip, [at, at + 1]))
+        entry = ranges(low[part], n[part])
+        size = np.repeat(n[part], n[part])
+        one, other = np.repeat(entry, size), ranges(np.repeat(low[part], n[part]), size)
+        squared = np.repeat(length[part] ** 2, n[part] ** 2)
+        np.add.at(flat, column[one].astype(np.int64) * terms.size + column[other],
+                  (weight[one] * weight[other] / squared).astype(flat.dtype))
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def products(docs: DataFrame, spaces: list[Terms]) -> list[np.ndarray]:
+    """A^T A of the passages A of all ``docs``, for the terms of every space; every task sums
+    its own.  Spaces of up to ``SUM_CELLS`` products, or the one that has more, share a
+    pass over the documents.
+
+    The driver gets the products of two terms, whose number follows the items only.
     """
-    columns = basis.shape[1]
-    at_once = max(1, (4 << 20) // max(1, terms.size))
-
+    cells = np.cumsum([t.size ** 2 for t in spaces])
+    passes: dict[int, list[int]] = {}
+    for i, before in enumerate(cells):
+        passes.setdefault(int(before - 1) // SUM_CELLS, []).append(i)
+    totals = [np.zeros((t.size, t.size), np.float32) for t in spaces]
+    few = docs.select("text").coalesce(
+        FIT_TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+    for own in passes.values():
+        for row in _sums(few, {i: spaces[i] for i in own}):
+            part = np.frombuffer(row["rows"], np.float32).reshape(-1, spaces[row["space"]].size)
+            totals[row["space"]][PART * row["part"]:][:len(part)] = part
+    return totals
+
+
+def _sums(docs: DataFrame, spaces: dict[int, Terms]) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((terms.size, columns))
+        totals = {i: np.zeros((t.size, t.size), np.float32) for i, t in spaces.items()}
         for batch in batches:
-            every = batch.column("item").to_numpy(zero_copy_only=False)
-            for row, high, data, offsets in slices(batch.column("text")):
-                own = every[row:high]
+            for _, _, data, offsets in slices(batch.column("text")):
                 words = Words(data, offsets)
                 places = bins(words)
-                text, first, end = passages(words)
-                length = lengths(places, first, end, terms.idf) / np.where(own[text], PULL, 1)
-                column = terms.column[places]
-                for low in range(0, len(first), at_once):
-                    high = min(low + at_once, len(first))
-                    n = end[low:high] - first[low:high]
-                    row = np.repeat(np.arange(high - low), n)
-                    at = column[np.repeat(first[low:high], n) + np.arange(n.sum())
-                                - np.repeat(np.cumsum(n) - n, n)]
-                    rows = np.zeros((high - low, terms.size), np.float32)
-                    np.add.at(rows, (row[at >= 0], at[at >= 0]), 1)
-                    rows *= terms.weight
-                    rows /= length[low:high, None]
-                    total += rows.T @ (rows @ basis)
-        for low in range(0, terms.size, PART):
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([low // PART]),
-                "rows": pa.array([total[low:low + PART].astype(np.float32).tobytes()],
-                                 pa.binary())})
+                for i, terms in spaces.items():
+                    add_products(words, places, terms, totals[i])
+        for i, total in totals.items():
+            for low in range(0, len(total), PART):
+                yield pa.RecordBatch.from_pydict({
+                    "space": pa.array([i]), "part": pa.array([low // PART]),
+                    "rows": pa.array([total[low:low + PART].tobytes()], pa.binary())})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:  # a part of the terms, of every task
         total = sum(np.frombuffer(r, np.float32).astype(float) for r in rows["rows"])
-        return pd.DataFrame({"part": rows["part"][:1], "rows": [total.tobytes()]})
+        return rows[["space", "part"]][:1].assign(rows=[total.astype(np.float32).tobytes()])
 
-    # a bounded sample; every task hands on a whole table of sums
-    parts = fit.coalesce(FIT_TASKS).mapInArrow(run, "part long, rows binary").groupBy("part").applyInPandas(
-        add, "part long, rows binary").toPandas().sort_values("part")
-    return np.concatenate([np.frombuffer(r).reshape(-1, columns) for r in parts["rows"]])
+    schema = "space long, part long, rows binary"
+    return docs.mapInArrow(run, schema).groupBy("space", "part").applyInPandas(
+        add, schema).collect()
 
 
-def latent_space(fit: DataFrame, terms: Terms, piece_texts: list[str], rank: int = RANK
+def latent_space(total: np.ndarray, terms: Terms, piece_texts: list[str], rank: int = RANK
                  ) -> np.ndarray:
     """The first ``rank`` right singular vectors, weighted; the last row is for other words.
 
-    Pieces that lose more than ``LOST`` of their length there add what is missing.
+    ``total`` has the ``products`` of the documents; those of the pieces are added.  Pieces that lose more than ``LOST`` of their length there add what is missing.
     """
     if not terms.size:
         return np.zeros((1, 1), np.float32)
+    words = joined(piece_texts)
+    own = np.zeros_like(total)
+    add_products(words, bins(words), terms, own)
+    total = total + PULL ** 2 * own
     size = min(rank + EXTRA, terms.size)
     signs = (mix(seeds(terms.size * size, 23)) >> np.uint64(63)).astype(np.float32) * 2 - 1
     basis = signs.reshape(terms.size, size)
     for _ in range(ROUNDS):
-        basis = np.linalg.qr(products(fit, terms, basis))[0].astype(np.float32)
-    inner = basis.T @ products(fit, terms, basis)
+        basis = np.linalg.qr(total @ basis)[0].astype(np.float32)
+    inner = basis.T @ (total @ basis)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     best = np.argsort(-values)[:rank]
     space = basis @ vectors[:, best]
-    words = joined(piece_texts)
     column = terms.column[bins(words)]
     own = np.zeros((words.texts, terms.size))
     np.add.at(own, (words.text[column >= 0], column[column >= 0]), 1)
@@ -361,8 +392,7 @@ def groups(item_texts: list[str]) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
-               sample: int = SAMPLE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Which documents hold which benchmark items.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text.  Returns one row per
@@ -373,34 +403,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     Null and empty texts hold nothing; null ids and null or empty items are no
     items.  Rows that repeat an id are judged each by its text, and a null doc_id
     comes out null.  An item of under ``SHORT_ITEM`` words must be there as a
-    whole.  Empty tables give an empty result.  ``sample`` bounds the documents
-    in the fit of the space; every document is searched.
+    whole.  Empty tables give an empty result.  Every document is in the fit of
+    the spaces, and is searched.
     """
-    return _find(texts(docs), benchmark, cosine, sample)
+    return _find(texts(docs), benchmark, cosine)
 
 
-def _find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sample: int = SAMPLE
-          ) -> DataFrame:
+def _find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     found: list[DataFrame] = []
-    idf = drawn = None
+    idf = None
     for ids, item_texts in item_parts(benchmark):
         if idf is None:
-            idf = document_frequencies(docs)
-            keys = draw(docs.where("doc_id is not null"), sample, 9).distinct()
-            drawn = materialise(
-                one_text(docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id"))
-                .select("text", F.lit(False).alias("item")), "leak-sample")
+            idf, n_docs = document_frequencies(docs)
         for low, high in groups(item_texts):
             owners, piece_texts = pieces(item_texts[low:high])
+            some = [piece_texts[at:at + PIECES_AT_ONCE]
+                    for at in range(0, len(owners), PIECES_AT_ONCE)]
+            spaces = [Terms(idf, s) for s in some]
+            share = min(1.0, FIT_DOCUMENTS / max(1, n_docs))
             parts = []
-            for at in range(0, len(owners), PIECES_AT_ONCE):
-                some = piece_texts[at:at + PIECES_AT_ONCE]
-                own = spark.createDataFrame([(t, True) for t in some],
-                                            "text string, item boolean")
-                terms = Terms(idf, some)
-                space = latent_space(drawn.unionByName(own), terms, some)
-                parts.append(Pieces(owners[at:at + PIECES_AT_ONCE].tolist(), some, terms, space))
+            for i, (own, terms, total) in enumerate(zip(some, spaces, products(docs, spaces))):
+                at = i * PIECES_AT_ONCE
+                space = latent_space(share * total, terms, own)
+                parts.append(Pieces(owners[at:at + PIECES_AT_ONCE].tolist(), own, terms, space))
             found.append(search(docs, Items(ids[low:high], item_texts[low:high]), parts, cosine))
     if not found:
         return spark.createDataFrame([], "key long, " + FOUND if "key" in docs.columns else FOUND)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -43,7 +43,8 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """``base`` to the powers 0 to ``n - 1``, modulo 2**64."""
     if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(1 << max(n - 1, 1).bit_length(), base, np.uint64)
+        # every worker keeps them, so they are few more than needed
+        steps = np.full(max(1, (n + 0xFFFF) >> 16) << 16, base, np.uint64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps)
         if n > 8 * SLICE_BYTES:  # of one very long text; not kept

@@ -634,3 +634,29 @@ def test_score_does_not_know_the_id(spark, tables):
     scores = [sorted(r["score"] for r in quality.score_quality(d, model).collect())
               for d in (docs, moved)]
     assert scores[0] == scores[1]
+
+
+def test_spaces_are_fitted_on_all_documents(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(80)]
+    docs = [" ".join(rng.choices(words, k=rng.randrange(90))) for _ in range(30)] + ["", "w1"]
+    items = [" ".join(words[i:i + 40]) for i in (0, 30)]
+    idf = decontaminate.document_frequencies(spark.createDataFrame(
+        [(t,) for t in docs], "text string"))[0]
+    spaces = [decontaminate.Terms(idf * 3, [item]) for item in items]
+    monkeypatch.setattr(decontaminate, "SUM_CELLS", 1)  # a pass for every space
+    found = decontaminate.products(
+        spark.createDataFrame([(t,) for t in docs], "text string").repartition(5), spaces)
+    for terms, total in zip(spaces, found):
+        expected = np.zeros((terms.size, terms.size))
+        for text in docs:
+            w = decontaminate.joined([text])
+            places = decontaminate.bins(w)
+            for _, low, high in zip(*decontaminate.passages(w)):
+                row = np.zeros(terms.size)
+                for place in places[low:high]:
+                    if terms.column[place] >= 0:
+                        row[terms.column[place]] += terms.idf[place]
+                row /= np.sqrt((terms.idf[places[low:high]].astype(float) ** 2).sum() or 1e-9)
+                expected += np.outer(row, row)
+        assert terms.size > 10 and np.abs(total - expected).max() < 1e-4
