@@ -334,6 +334,8 @@ def test_hashed_vectors_are_summed_inside_their_rows(spark, index, capsys):
     hashed_vectors(index.docs).explain()
     assert "Exchange" not in capsys.readouterr().out
     found = {r["index"]: r.vec for r in hashed_vectors(index.docs).collect()}
+    # a text without terms has no vector, also where a filter on the vector comes first
+    assert hashed_vectors(index.docs).select(F.explode("vec")).count() == 5 * 256
     # rows with one index, also without any, are one text
     twice = index.docs.where("index in (1, 2)").withColumn(
         "index", F.when(F.col("index") == 2, F.lit(None)).otherwise(F.col("index")))
