@@ -343,3 +343,44 @@ def test_hashed_vectors_are_summed_inside_their_rows(spark, index, capsys):
         index.docs.where("index = 6").unionByName(twice).unionByName(twice)).collect()}
     assert set(both) == {1, 6, None} and both[6] == found[6]
     assert np.allclose(both[1], found[1], atol=2e-6) and np.allclose(both[None], found[2], atol=2e-6)
+
+
+def test_queries_of_one_file_visit_on_all_cores(spark):
+    vectors = rows(spark, np.eye(6, dtype=np.float32)).coalesce(1)
+    index = nb.build_vector_index(vectors)
+    visits = nb.visits_of(vectors.withColumnRenamed("index", "query_id"), index, 2)
+    assert visits.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e3])
+@pytest.mark.parametrize("metric", nb.METRICS)
+def test_screened_pairs_are_those_of_double_precision(metric, scale):
+    rng = np.random.default_rng(5)
+    b = (rng.normal(size=(400, 16)) * scale).astype(np.float32).astype(float)
+    a = np.vstack([b[:20], (rng.normal(size=(30, 16)) * scale).astype(np.float32)])
+    if metric == "cosine":
+        a, b = nb._unit(a), nb._unit(b)
+    order = nb._order(a @ b.T, metric, (a * a).sum(1)[:, None], (b * b).sum(1)[None, :])
+    most = np.sort(order, axis=1)[:, 1] + 1e-9 * scale ** 2
+    row, column = nb._screened(a, b, metric, most)
+    assert len(row) < nb.SCREENED * order.size
+    assert set(zip(*np.nonzero(order <= most[:, None]))) <= set(zip(row, column))
+    assert nb._screened(a, b, metric, np.full(len(a), np.inf)) is None
+    assert nb._screened(a * 1e35, b, metric, most) is None
+
+
+@pytest.mark.parametrize("metric", nb.METRICS)
+def test_found_values_lower_the_bound(metric):
+    rng = np.random.default_rng(6)
+    a, b = nb._unit(rng.normal(size=(5, 8))), nb._unit(rng.normal(size=(60, 8)))
+    most, nearest = np.full(5, np.inf), np.full((5, 3), nb.FAR)
+    values = []
+    for at in range(0, 60, 20):
+        row, _, value = nb._nearest_pairs(a, b[at:at + 20], metric, 3, most)
+        nb._tighten(most, nearest, row, value, metric)
+        values.append((row, value))
+    row, value = (np.concatenate(x) for x in zip(*values))
+    _, _, best = nb._nearest_pairs(a, b, metric, 3, np.full(5, np.inf))
+    for i in range(5):
+        assert sorted(value[row == i])[:3] == list(best[3 * i:3 * i + 3]) == sorted(nearest[i])
+    assert np.isfinite(most).all() and len(row) < 5 * 9
