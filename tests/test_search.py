@@ -384,3 +384,22 @@ def test_found_values_lower_the_bound(metric):
     for i in range(5):
         assert sorted(value[row == i])[:3] == list(best[3 * i:3 * i + 3]) == sorted(nearest[i])
     assert np.isfinite(most).all() and len(row) < 5 * 9
+
+
+def test_lists_are_built_from_whole_documents(spark):
+    texts = [(1, "b a b"), (2, "a"), (None, "a c"), (3, ""), (4, None), (2, "a a")]
+    docs = spark.createDataFrame(texts, "index long, text string")
+    for block_docs in (1, 100):
+        index = ft.build_index(docs, buckets=4, block_docs=block_docs)
+        found = sorted((tuple(r) for r in index.postings.collect()), key=str)
+        assert found == sorted([
+            ("a", 1, 1, 3), ("b", 1, 2, 3), ("a", 2, 1, 1), ("a", 2, 2, 2),
+            ("a", None, 1, 2), ("c", None, 1, 2)], key=str)
+        assert dict(index.term_df.collect()) == {"a": 4, "b": 1, "c": 1}
+    # the rows of one block, not their postings, cross the exchange
+    stored = index.docs.withColumn("block", F.lit(0).cast("long"))
+    table = stored.where(F.size("terms") > 0).select(
+        "block", "index", "doc_len", "terms").toArrow()
+    lists = ft._lists_of_block(table)
+    assert sorted(lists.column("term").to_pylist()) == ["a", "b", "c"]
+    assert lists.schema.names == ["block", "term", "entries"]
