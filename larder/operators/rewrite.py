@@ -87,7 +87,11 @@ def corrections(unknown: DataFrame, vocabulary: DataFrame,
     equi-join on segments finds all pairs, with a few keys a word whatever its
     length.
     """
-    asked = unknown.select("term").distinct().select(
+    spark = unknown.sparkSession
+    # few bytes, but much work on each: a number of parts that is given stays as it is
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                spark.sparkContext.defaultParallelism)
+    asked = unknown.select("term").repartition(parts, "term").distinct().select(
         "term", F.explode(F.expr(_possible_segments("term", max_distance))).alias("h"))
     offered = vocabulary.select(
         F.col("term").alias("fix"), "df",

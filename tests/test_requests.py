@@ -360,3 +360,21 @@ def test_rows_that_a_model_names_as_rejected_cost_no_calls_of_their_own(spark, i
     assert seen[0][0] <= 2 * 6 and seen[0][1] == 256 + 128
     # answers are kept, and only those rejected are asked again
     assert seen[1][1] - seen[0][1] == 2 * 128
+
+
+def test_work_on_few_bytes_is_dealt_to_all_cores(spark, tmp_path):
+    from larder.catalogue import inputs
+    rows = [(i, f"red soup{i}", "B#1", "FRESH STEW") for i in range(40)] + [(None, "x", "B", "C")]
+    parts = spark.createDataFrame(
+        rows, "p_partkey long, p_name string, p_brand string, p_type string")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    recipes = inputs.recipes(spark, str(tmp_path))
+    cores = spark.sparkContext.defaultParallelism
+    assert recipes.rdd.getNumPartitions() >= cores
+    assert recipes.count() == 41
+    words = spark.createDataFrame([(f"wort{i}xy",) for i in range(200)], "term string").coalesce(1)
+    vocabulary = spark.createDataFrame([("word7xy", 3), ("other", 5)], "term string, df long")
+    found = rewrite.corrections(words, vocabulary)
+    dealt = rewrite.corrections(words, F.broadcast(vocabulary)).rdd.getNumPartitions()
+    assert {r.term: r.fix for r in found.collect()}["wort7xy"] == "word7xy"
+    assert dealt >= cores
