@@ -36,7 +36,7 @@ KEPT_SHARE = 0.80  # of it on the rarest words, which are kept for an item under
 RANK = 256
 EXTRA = 16  # columns of the random start beyond the rank
 ROUNDS = 2
-PART = 256  # terms whose sums travel together
+PART = 64  # terms whose sums travel together; those of all tasks meet in one group
 PULL = 30.0  # of an item's passages on the space; the items must be in it
 FIT_TASKS = 2  # for every core; each hands on its sums
 FIT_DOCUMENTS = 2_000  # as many as all documents weigh together, beside the pull of the items

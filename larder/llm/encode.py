@@ -11,6 +11,7 @@ gathered from those of the parts; frequent parts are kept for later columns.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import reduce
 
@@ -49,6 +50,8 @@ class Encoder:
     """Texts to ids, four little-endian bytes each."""
 
     def __init__(self, path: str):
+        # a task has one core, and every thread keeps memory of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyarrow import fs
 
 
@@ -42,3 +43,9 @@ def kept(name: tuple, make: Callable[[], Any]) -> Any:
     if name not in store:
         store[name] = make()
     return store[name]
+
+
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()

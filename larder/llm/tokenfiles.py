@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.encode import ID_TYPE, encoder
-from larder.llm.files import create, open_read
+from larder.llm.encode import ID_TYPE, Encoder, encoder
+from larder.llm.files import create, give_back, open_read
 from larder.llm.tables import texts
 from larder.llm.words import slices
 from larder.session import materialise, work_path
@@ -34,7 +34,7 @@ from larder.session import materialise, work_path
 MAGIC = b"LARDPLN1"
 BLOCK = 1 << 16
 END_ID = 0
-ENCODED_BYTES = 4 << 20  # of text, encoded in one go; more takes less time and more memory
+ENCODED_BYTES = 1 << 20  # of text, encoded in one go; more takes less time and more memory
 HEAD = np.dtype([(k, "<i8") for k in ("bits", "block", "blocks", "planes", "docs", "ids")])
 LEVEL = 1
 
@@ -155,6 +155,34 @@ class PlaneReader:
                     missing = int(self.counts[doc]) if doc < len(self.counts) else 0
 
 
+def encoded(columns: Iterator[pa.Array], encode: Encoder, size: int = ENCODED_BYTES
+            ) -> Iterator[tuple[bytes, np.ndarray]]:
+    """The ids of runs of texts, each text with its end id, and how many each has.
+
+    A run has some ``size`` bytes.  A worker lives on after its task, so what a run took
+    goes back to the system before the next one.
+    """
+    waiting, held = [], 0
+
+    def run() -> Iterator[tuple[bytes, np.ndarray]]:
+        texts = pa.concat_arrays(waiting)
+        waiting.clear()
+        for low, high, _, _ in slices(texts, size):
+            ids, n = encode.encode_column(texts.slice(low, high - low))
+            yield np.insert(ids, np.cumsum(n), END_ID).tobytes(), n + 1
+            del ids
+            give_back()
+
+    for column in columns:
+        waiting.append(column.fill_null("").cast(pa.large_string()))
+        held += waiting[-1].nbytes
+        if held >= size:
+            yield from run()
+            held = 0
+    if waiting:
+        yield from run()
+
+
 def write_planes(docs: DataFrame, folder: str, tokenizer: str, bits: bool = False,
                  block: int = BLOCK, encoded_bytes: int = ENCODED_BYTES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into plane files below ``folder``.
@@ -174,23 +202,15 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, bits: bool = Fals
         path, stream = create(folder, f"shard-{shard:06d}", ".planes")
         writer, ids, counts = PlaneWriter(stream, bits, block), [], [np.zeros(0, np.int64)]
 
-        def put(waiting: list[pa.Array]) -> None:
-            texts = pa.concat_arrays(waiting)
-            for low, high, _, _ in slices(texts, encoded_bytes):
-                own, n = encode.encode_column(texts.slice(low, high - low))
-                writer.add(np.insert(own, np.cumsum(n), END_ID).tobytes())
-                counts.append(n + 1)
+        def text_columns() -> Iterator[pa.Array]:
+            for batch in batches:
+                # a column keeps its whole batch, texts and all
+                ids.append(pa.array(batch.column("doc_id").to_pylist(), pa.int64()))
+                yield batch.column("text")
 
-        waiting, size = [], 0
-        for batch in batches:
-            ids.append(batch.column("doc_id"))
-            waiting.append(batch.column("text").fill_null("").cast(pa.large_string()))
-            size += waiting[-1].nbytes
-            if size >= encoded_bytes:
-                put(waiting)
-                waiting, size = [], 0
-        if waiting:
-            put(waiting)
+        for own, n in encoded(text_columns(), encode, encoded_bytes):
+            writer.add(own)
+            counts.append(n)
         ids = pa.chunked_array(ids, pa.int64()).combine_chunks()
         counts = np.concatenate(counts)
         writer.close(ids, counts)

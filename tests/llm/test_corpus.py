@@ -4,11 +4,15 @@ import base64
 import hashlib
 import io
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import tokenizers
@@ -292,6 +296,54 @@ def test_token_files_of_odd_rows(spark, empty):
     assert tokenfiles.write_and_read(empty, TOKENIZER).count() == 0
 
 
+ENCODING = """
+import random, re, sys
+import pyarrow as pa
+from larder.llm import encode, tokenfiles
+
+def held():
+    text = open("/proc/self/status").read()
+    return int(re.search(r"RssAnon:\\s+(\\d+) kB", text)[1]) / 1024
+
+rng = random.Random(3)
+vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+              for _ in range(60_000)]
+def columns():
+    for _ in range(6):
+        yield pa.array([" ".join(rng.choices(vocabulary, k=300)) for _ in range(1_000)])
+
+encoder = encode.Encoder(sys.argv[1])
+some = next(columns())
+before, most = held(), 0
+for run, n in tokenfiles.encoded(columns(), encoder):
+    most = max(most, len(run))
+    last = held()
+print(last - before, most)
+"""
+
+
+def test_encoding_leaves_little_in_its_worker():
+    """A worker outlives the stage, beside a JVM that has grown."""
+    found = subprocess.run([sys.executable, "-c", ENCODING, TOKENIZER], check=True, text=True,
+                           capture_output=True, cwd=Path(tokenfiles.__file__).parents[2]).stdout
+    mb, run = map(float, found.split())
+    assert mb < 100
+    assert run < 4 << 20
+
+
+def test_runs_of_texts_are_encoded_whole():
+    own = encode.Encoder(TOKENIZER)
+    texts = ["a b", None, "", "long " * 50, "c"]
+    columns = [pa.array(texts[:2]), pa.array([], pa.string()), pa.array(texts[2:])]
+    for size in (1, 64, 1 << 20):
+        runs = list(tokenfiles.encoded(iter(columns), own, size))
+        assert b"".join(r for r, _ in runs) == b"".join(
+            p + bytes(4) for p in own.plain([t or "" for t in texts]))
+        assert np.concatenate([n for _, n in runs]).tolist() == [
+            len(p) // 4 + 1 for p in own.plain([t or "" for t in texts])]
+    assert not list(tokenfiles.encoded(iter([]), own))
+
+
 # WARC
 
 PAGES = "page_id long, url string, html string, n int, sha1 string"
