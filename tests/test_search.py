@@ -403,3 +403,59 @@ def test_lists_are_built_from_whole_documents(spark):
     lists = ft._lists_of_block(table)
     assert sorted(lists.column("term").to_pylist()) == ["a", "b", "c"]
     assert lists.schema.names == ["block", "term", "entries"]
+
+
+def sparse_rows(n, rng, dim=32, entries=2):
+    data = np.zeros((n, dim), np.float32)
+    for row in data:
+        row[rng.choice(dim, entries, replace=False)] = rng.normal(size=entries)
+    return data
+
+
+@pytest.mark.parametrize("metric", nb.METRICS)
+@pytest.mark.parametrize("sparse", [True, False])
+def test_bundles_read_in_place_give_what_copies_give(spark, monkeypatch, metric, sparse):
+    monkeypatch.setattr(nb, "CELL_ROWS", 40)
+    monkeypatch.setattr(nb, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(nb, "SPARSE_COLUMNS", 16)
+    rng = np.random.default_rng(8)
+    data = np.vstack([np.repeat(rng.normal(size=(1, 32)), 60, axis=0),
+                      rng.normal(size=(540, 32))]).astype(np.float32)
+    index = nb.build_vector_index(rows(spark, data), metric, block_bytes=4 * 32 * 70)
+    asked = sparse_rows(500, rng) if sparse else data[50:550]
+    asked[7] = 0
+    queries = rows(spark, asked).selectExpr("if(index = 9, 8, index) as query_id", "vec")
+    found = {}
+    for sent in (0, 1e9):
+        monkeypatch.setattr(nb, "SENT", sent)
+        found[sent] = sorted(map(tuple, nb.knn(queries, index, 7).collect()))
+    assert found[0] == found[1e9] and len(found[0]) >= 498 * 7
+
+
+def test_what_is_sent_does_not_grow_with_the_bundles(spark, monkeypatch, capsys):
+    monkeypatch.setattr(nb, "CELL_ROWS", 20)
+    data = np.random.default_rng(9).normal(size=(600, 16)).astype(np.float32)
+    index = nb.build_vector_index(rows(spark, data), "l2", block_bytes=4 * 16 * 20)
+    queries = rows(spark, data).withColumnRenamed("index", "query_id")
+    # every query needs nearly all bundles, and would be copied to each
+    assert nb.visits_of(queries, index, 5).count() > 3 * nb.SENT * len(data)
+    nb.knn(queries, index, 5).explain()
+    plan = capsys.readouterr().out
+    assert "MapInPandas" in plan and "FlatMapCoGroupsInPandas" not in plan
+
+
+def test_sparse_queries_are_screened_by_their_entries(monkeypatch):
+    rng = np.random.default_rng(10)
+    a, b = sparse_rows(40, rng).astype(float), rng.normal(size=(300, 32))
+    for metric in nb.METRICS:
+        ours, theirs = (nb._unit(a), nb._unit(b)) if metric == "cosine" else (a, b)
+        order = nb._order(ours @ theirs.T, metric, (ours * ours).sum(1)[:, None],
+                          (theirs * theirs).sum(1)[None, :])
+        most = np.sort(order, axis=1)[:, 5] + 1e-9
+        lines, take = [], np.take
+        monkeypatch.setattr(np, "take", lambda x, i, *o, **n: lines.append(len(i)) or take(x, i, *o, **n))
+        row, column = nb._screened(ours, theirs, metric, most)
+        monkeypatch.setattr(np, "take", take)
+        assert sum(lines) <= 3 * len(a)  # of 32 entries, and one for the length
+        assert set(zip(*np.nonzero(order <= most[:, None]))) <= set(zip(row, column))
+        assert len(row) < 2 * 6 * len(a)
