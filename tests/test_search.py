@@ -459,3 +459,83 @@ def test_sparse_queries_are_screened_by_their_entries(monkeypatch):
         assert sum(lines) <= 3 * len(a)  # of 32 entries, and one for the length
         assert set(zip(*np.nonzero(order <= most[:, None]))) <= set(zip(row, column))
         assert len(row) < 2 * 6 * len(a)
+
+
+def random_texts(rng, n, words=60):
+    return [" ".join(f"w{int(w)}" for w in np.minimum(rng.zipf(1.4, rng.integers(1, 30)), words))
+            for _ in range(n)]
+
+
+@pytest.mark.parametrize("key", ["long", "string"])
+def test_blocks_read_in_place_give_what_a_broadcast_gives(spark, monkeypatch, capsys, key):
+    rng = np.random.default_rng(14)
+    texts = random_texts(rng, 300)
+    docs = spark.createDataFrame(
+        [(str(i // 2 if i < 20 else i), t) for i, t in enumerate(texts)],
+        "index string, text string").withColumn("index", F.col("index").cast(key))
+    index = ft.build_index(docs, buckets=4, block_docs=20)
+    asked = [(f"q{i % 80}", t) for i, t in enumerate(random_texts(rng, 90, 80))]
+    queries = spark.createDataFrame([*asked, (None, "w1"), ("none", "unknown")],
+                                    "query_id string, query string")
+    found = {}
+    for rows, results in ((ft.BROADCAST_ROWS, ft.RESULTS), (200, ft.RESULTS), (200, 40)):
+        monkeypatch.setattr(ft, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(ft, "RESULTS", results)
+        found[rows, results] = sorted(map(tuple, ft.search(queries, index, 4).collect()), key=str)
+    first, *others = found.values()
+    assert len(first) > 300 and all(other == first for other in others)
+    # what the blocks hand on stays in the task
+    ft.search(queries, index, 4).explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("floors", [0.0, 1.5, 4.0])
+def test_merged_lists_give_what_the_product_gives(monkeypatch, floors):
+    rng = np.random.default_rng(15)
+    n, terms, asking = 300, 40, 50
+    lists = [sorted(rng.choice(n, n // (t + 1), replace=False)) for t in range(terms)]
+    entries = {"index": np.concatenate(lists) * 3,
+               "start": np.append(0, np.cumsum([len(x) for x in lists]))}
+    entries["tf"] = rng.integers(1, 5, len(entries["index"]))
+    entries["doc_len"] = 10 + entries["index"] % 17
+    weight = np.linspace(0.1, 3.0, terms)
+    asks = [sorted(rng.choice(terms, 1 + q % 9, replace=False)) for q in range(asking)]
+    query = np.repeat(np.arange(asking), [len(a) for a in asks])
+    term = np.concatenate(asks)
+    results = []
+    for sparse in (0, ft.SPARSE, 1e9):  # lists alone, either, the product alone
+        monkeypatch.setattr(ft, "SPARSE", sparse)
+        row, ids, score, matched = ft._score(
+            entries, query, term, weight[term], np.full(asking, floors), 5, 15.0)
+        order = np.lexsort((ids, -score, row))
+        results.append([x[order].tolist() for x in (row, ids, score, matched)])
+    assert results[0] == results[1] == results[2] and len(results[0][0]) > asking
+    gain = np.zeros((terms, 3 * n))
+    for t in range(terms):
+        own = slice(entries["start"][t], entries["start"][t + 1])
+        tf, length = entries["tf"][own], entries["doc_len"][own]
+        gain[t, entries["index"][own]] = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 15.0))
+    want = []
+    for q, own in enumerate(asks):
+        score = np.round(weight[own] @ gain[own], 6)
+        for i in np.lexsort((np.arange(3 * n), -score))[:5]:
+            if score[i] > 0 and score[i] >= floors:
+                want.append((q, i, score[i]))
+    assert [tuple(x) for x in zip(*results[0][:2])] == [x[:2] for x in want]
+    assert results[0][2] == pytest.approx([x[2] for x in want], abs=2e-6)
+
+
+def test_the_best_of_blocks_raise_the_floor():
+    best, rng = ft._Best(3, 2), np.random.default_rng(16)
+    given = []
+    for at in range(20):
+        row, score = np.sort(rng.integers(0, 2, 5)), np.round(rng.random(5), 6)
+        ids = 10 * at + np.arange(5)
+        given += zip(row.tolist(), (-score).tolist(), ids.tolist())
+        best.add(row, ids, score, np.ones(5, np.int32))
+    want = [x for q in range(2) for x in sorted(g for g in given if g[0] == q)[:2]]
+    rank, (row, ids, score, _) = next(best.strips())
+    assert list(zip(row, -score, ids)) == want and rank.tolist() == [1, 2, 1, 2]
+    assert best.floor[:2] == pytest.approx([-want[1][1] - 1e-5, -want[3][1] - 1e-5])
+    assert best.floor[2] == 0.0
