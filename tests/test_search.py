@@ -539,3 +539,9 @@ def test_the_best_of_blocks_raise_the_floor():
     assert list(zip(row, -score, ids)) == want and rank.tolist() == [1, 2, 1, 2]
     assert best.floor[:2] == pytest.approx([-want[1][1] - 1e-5, -want[3][1] - 1e-5])
     assert best.floor[2] == 0.0
+
+
+def test_fusion_shuffles_once(spark, capsys):
+    a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id int, index long, rank int")
+    fuse(a, a, k=3).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
